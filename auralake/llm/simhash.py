@@ -207,21 +207,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     return docs.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``df`` whose key is their component's id; of rows that share this key, one.
+
+    Components without any key keep one row of each distinct text.
+    """
+    found = near_duplicates(df, key, text, width, radius)
+    kept = found.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("n"))
+    odd = found.agg(F.max(F.col("component_id").isNull()).alias("keyless")).join(kept.agg(F.max("n").alias("n"))).first()
+    stay = df.join(kept.select(key), key, "left_semi").select(df.columns)
+    if (odd["n"] or 0) > 1:
+        stay = stay.dropDuplicates([key])
+    if odd["keyless"]:
+        keyless = found.where(F.col("component_id").isNull()).select(F.col("fp").alias("_fp")).distinct()
+        lone = fingerprints(df.where(F.col(key).isNull()), text, width, "_fp").join(keyless, "_fp", "left_semi")
+        stay = stay.unionByName(lone.dropDuplicates([text]).select(df.columns))
+    return stay
+
+
 def op2_vantage_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, radius: int = 4) -> DataFrame:
-    """The rows of ``df`` whose key is their component's id; one row if the key repeats.
-
-    Rows without a key are kept only where their whole component has none, one of each text.
-    """
-    found = near_duplicates(df, key, text, width, radius)
-    kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    named = df.join(kept, key, "left_semi").dropDuplicates([key])
-    lone = found.where(F.col(key).isNull() & F.col("component_id").isNull()).select("fp").limit(1)
-    if lone.isEmpty():
-        return named
-    return named.unionByName(df.where(F.col(key).isNull()).dropDuplicates([text]))
