@@ -113,22 +113,26 @@ def fit(df: DataFrame, text: str = "text", target: str = "target") -> Models:
     return Models(counts)
 
 
-def score(df: DataFrame, models: Models, text: str = "text", target: str | None = None) -> DataFrame:
-    """Add n_tokens, ce_target, ce_background and ce_difference.
+SCORES = ("n_tokens", "ce_target", "ce_background", "ce_left_out")
 
-    ``target``: the boolean column by which the rows of ``df`` were counted; None if they are other texts.
+
+def score(df: DataFrame, models: Models, text: str = "text", counted: bool = False) -> DataFrame:
+    """Add n_tokens, ce_target, ce_background and ce_left_out.
+
+    ``counted``: the rows of ``df`` are those that the background was counted on, so each is left out of it;
+    ce_left_out is the cross-entropy under the target less the row itself, for rows that were counted there too.
     """
     shared = df.sparkSession.sparkContext.broadcast(models)
-    fields = [T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("ce_target", "ce_background", "ce_difference"))]
+    fields = [T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in SCORES[1:])]
 
     def start():
         own = shared.value
 
         def of(batch: pa.RecordBatch) -> list[pa.Array]:
-            texts = batch.column(batch.schema.get_field_index(text))
-            hits = batch.column(batch.schema.get_field_index(target)).to_pylist() if target else [False] * len(texts)
-            found = [own.losses(x.as_py(), (bool(hit), target is not None)) for x, hit in zip(texts, hits, strict=True)]
-            found = [(*f, None if f[1] is None else f[1] - f[2]) for f in found]
+            found = []
+            for x in batch.column(batch.schema.get_field_index(text)):
+                n, target, background = own.losses(x.as_py(), (False, counted))
+                found.append((n, target, background, own.losses(x.as_py(), (True, counted))[1] if counted else None))
             return [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)]
 
         return of
@@ -137,15 +141,28 @@ def score(df: DataFrame, models: Models, text: str = "text", target: str | None
 
 
 def with_target(docs: DataFrame, labels: DataFrame, chosen, key: str = "doc_id") -> DataFrame:
-    """``docs`` with a boolean target: whether a label for which ``chosen`` holds has the key."""
+    """``docs`` with a boolean target: whether a label for which ``chosen`` holds has the key.
+
+    Labels grow with the documents, so neither side is broadcast, whatever its size.
+    """
     hits = labels.where(chosen).select(key).distinct().withColumn("target", F.lit(True))
-    return docs.select([c for c in docs.columns if c.lower() != "target"]).join(hits, key, "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    return docs.select([c for c in docs.columns if c.lower() != "target"]).join(hits.hint("merge"), key, "left").withColumn("target", F.coalesce("target", F.lit(False)))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, chosen, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ce_target, ce_background, ce_difference) of every row, each left out of the models that it is in.
+
+    Texts are shuffled once, to meet their labels for counting. Scoring reads them where they are, with and
+    without themselves, and the labels choose between these few numbers.
+    """
+    models = fit(with_target(docs.select(key, text), labels, chosen, key), text)
+    scored = with_target(score(docs.select(key, text), models, text, counted=True).drop(text), labels, chosen, key)
+    target = F.when(F.col("target"), F.col("ce_left_out")).otherwise(F.col("ce_target"))
+    return scored.select(key, "n_tokens", target.alias("ce_target"), "ce_background", (target - F.col("ce_background")).alias("ce_difference"))
 
 
 def op8_cross_entropy(spark, sf_dir: str) -> DataFrame:
     """Every document's loss difference between the good documents and all."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    counted = with_target(docs, labels, F.col("quality") == 1)
-    scored = score(counted, fit(counted), target="target")
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    scored = score_documents(docs, labels, F.col("quality") == 1)
     return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("ce_target", "ce_background", "ce_difference")))

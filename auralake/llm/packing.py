@@ -22,7 +22,12 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,44 +39,91 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auralake.llm.session import pieces
+from auralake.llm.wordpiece import SUFFIX, byte_alphabet
 
 CAPACITY = 4096
 MAX_SEGMENTS = 512
 END_ID = 2
 BUFFER_ITEMS = 1024
 BUFFER_TOKENS = 4 << 20
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 400_000
 SHIFT = 40
 
 
+class PieceCoder:
+    """The merges of a tokenizer file with word ends, run by the faster byte-pair core.
+
+    A word's end is the byte 0xFF, which UTF-8 never holds. Ids are merge ranks in such files, and
+    the merge of a last byte with the end comes before all others, so the same merges happen in the same order.
+    """
+
+    #: Composed Latin letters, which normalisation leaves alone, and one mark at most: the word and the mark are pieces.
+    PLAIN = re.compile("([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+
+    def __init__(self, vocabulary: dict[str, int]):
+        import tiktoken
+
+        of = {c: b for b, c in enumerate(byte_alphabet())}
+        ranks = {}
+        for piece, rank in vocabulary.items():
+            end = piece.endswith(SUFFIX) and piece != SUFFIX
+            ranks[bytes(of[c] for c in (piece[: -len(SUFFIX)] if end else piece)) + b"\xff" * end] = rank
+        self.core = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def of(self, chunk: bytes) -> bytes | None:
+        """Ids of a plain chunk; None for any other."""
+        plain = self.PLAIN.fullmatch(chunk.decode())
+        if plain is None:
+            return None
+        word, mark = plain.groups()
+        ids = self.core(word.lower().encode() + b"\xff")
+        return array("I", ids + self.core(mark.encode() + b"\xff") if mark else ids).tobytes()
+
+
 class TokenIds:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and no token crosses it, so the ids of a
-    text are those of its parts between ASCII white space, which are remembered.
+    text are those of its parts between ASCII white space, which are remembered:
+    the newest in one table, the ones before in another, both bounded.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
-        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.seen: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            self.coder = PieceCoder(json.load(file)["model"]["vocab"]) if sys.byteorder == "little" else None
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         parts = [(t or "").encode("utf-8", "replace").split() for t in texts]
         if len(self.seen) > CACHE_CHUNKS:
-            self.seen.clear()
-        missing = list(set().union(*parts).difference(self.seen))
-        for at in range(0, len(missing), 8192):
-            some = missing[at : at + 8192]
-            for chunk, found in zip(some, self.encode([c.decode() for c in some], add_special_tokens=False), strict=True):
-                self.seen[chunk] = np.array(found.ids, "<u4").tobytes()
+            self.seen, self.before = {}, self.seen
+        seen, before, other = self.seen, self.before, []
+        for chunk in set().union(*parts).difference(seen):
+            found = before.get(chunk) or (self.coder and self.coder.of(chunk))
+            if found is None:
+                other.append(chunk)
+            else:
+                seen[chunk] = found
+        for at in range(0, len(other), 8192):
+            some = other[at : at + 8192]
+            for chunk, found in zip(some, self.tokenizer.encode_batch([c.decode() for c in some], add_special_tokens=False), strict=True):
+                seen[chunk] = np.array(found.ids, "<u4").tobytes()
         end = np.array([END_ID], "<u4").tobytes()
-        get = self.seen.__getitem__
+        get = seen.__getitem__
         return [b"".join(map(get, p)) + end for p in parts]
 
 
+@functools.cache
+def token_ids(path: str) -> TokenIds:
+    """One per Python worker, which keeps what it has seen from task to task."""
+    return TokenIds(path)
+
+
 class Packer:
     """Packs a stream of items; ``sequences`` are lists of (item, start, length)."""
 
@@ -155,7 +207,7 @@ def pack_documents(
     schema = T.StructType([df.select(key).schema.fields[0], *(T.StructField(n, T.LongType()) for n in ("start", "length")), T.StructField("ids", T.BinaryType()), *(T.StructField(n, T.LongType()) for n in ("doc_tokens", "sequence_id", "offset"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = TokenIds(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+        tokens = token_ids(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
         packer = Packer(limits, cut=True)
         held: dict[int, tuple] = {}  # item: key, ids, tokens not yet placed
         rows: list[tuple] = []

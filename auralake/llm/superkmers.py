@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auralake.llm.session import append_columns, pieces, shuffle_partitions, without
+from auralake.llm.session import append_columns, materialise, pieces, shuffle_partitions, without
 
 WINDOW = 50
 MINIMISER_WORDS = 8
@@ -251,8 +251,9 @@ def stretches(docs: DataFrame, key: str, mark: str, text: str, k: int, m: int, b
                     columns = (one.windows(hashes, k)[at].view(np.int64), two.windows(_mix(hashes), k)[at].view(np.int64), np.full(len(at), name), np.full(len(at), mark_), at)
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h1", "h2", "key", "mark", "lo"])
 
-    windows = docs.select(F.col(key).cast("long").alias(key), mark, text).mapInArrow(single, "h1 long, h2 long, key long, mark long, lo long")
-    least = windows.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
+    # Both sides of the join are read anew, so that each has a shuffle of its own, whose hot partitions can be split.
+    windows = materialise(docs.select(F.col(key).cast("long").alias(key), mark, text).mapInArrow(single, "h1 long, h2 long, key long, mark long, lo long"))
+    least = materialise(windows.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most"))
     later = windows.join(least, ["h1", "h2"]).where("key > least")
     return found.unionByName(later.select("key", "mark", "lo", (F.col("lo") + k).alias("hi")))
 

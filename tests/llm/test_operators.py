@@ -259,20 +259,28 @@ def test_line_runs(spark, corpus, least):
 
 class TestCrossEntropy:
     def test_counts_and_leaving_out(self, spark, corpus):
-        docs = table(spark, [*corpus, corpus[0]]).withColumn("target", (F.col("doc_id") % 2 == 0))
-        models = cross_entropy.fit(docs)
-        assert models.total[1] == sum(len((t or "").split()) for _, t in [*corpus, corpus[0]])
-        rows = cross_entropy.score(docs, models, target="target").collect()
-        for r in rows[:20]:
-            if r["n_tokens"]:
-                rest = [t for k, t in [*corpus, corpus[0]] if t and t != r["text"]] + [r["text"]] * (sum(t == r["text"] for _, t in [*corpus, corpus[0]]) - 1)
-                counts = np.zeros((2, 2 * cross_entropy.WORDS + cross_entropy.PAIRS))
-                for t in rest:
-                    word, context, pair = cross_entropy.cells(t)
-                    np.add.at(counts[1], np.concatenate([word, context + np.uint32(cross_entropy.WORDS), pair + np.uint32(2 * cross_entropy.WORDS)]), 1)
-                assert cross_entropy.Models(counts).losses(r["text"])[2] == pytest.approx(r["ce_background"])
-            else:
-                assert r["ce_difference"] is None
+        rows = [*corpus, corpus[0]]
+        target = {k for k, _ in rows if k % 2 == 0}
+        labels = spark.createDataFrame([(k, 1) for k in target] + [(None, 1), (min(target), 1)], "doc_id long, quality int")
+        models = cross_entropy.fit(cross_entropy.with_target(table(spark, rows), labels, F.col("quality") == 1))
+        assert models.total[1] == sum(len((t or "").split()) for _, t in rows)
+        got = cross_entropy.score_documents(table(spark, rows), labels, F.col("quality") == 1).collect()
+        assert len(got) == len(rows)
+
+        def counts(texts):
+            out = np.zeros(2 * cross_entropy.WORDS + cross_entropy.PAIRS)
+            for t in texts:
+                word, context, pair = cross_entropy.cells(t)
+                np.add.at(out, np.concatenate([word, context + np.uint32(cross_entropy.WORDS), pair + np.uint32(2 * cross_entropy.WORDS)]), 1)
+            return out
+
+        texts = dict(corpus)
+        for r in [r for r in got if r["n_tokens"]][:15]:
+            rest = list(rows)
+            rest.remove((r["doc_id"], texts[r["doc_id"]]))
+            both = cross_entropy.Models(np.array([counts(t for k, t in rest if k in target), counts(t for _, t in rest)]))
+            assert both.losses(texts[r["doc_id"]]) == pytest.approx((r["n_tokens"], r["ce_target"], r["ce_background"]))
+        assert all(r["ce_difference"] is None for r in got if not r["n_tokens"])
 
     def test_like_the_target_is_lower(self, spark):
         rng = random.Random(0)
@@ -280,12 +288,11 @@ class TestCrossEntropy:
         good, bad = "alpha beta gamma delta epsilon zeta".split(), "one two three four five six".split()
         rows = [(i, of(good if i % 2 else bad)) for i in range(60)]
         labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(None, 1), (1, 1)], "doc_id long, quality int")
-        counted = cross_entropy.with_target(table(spark, rows), labels, F.col("quality") == 1)
-        assert counted.count() == 60
-        scores = {r["doc_id"]: r["ce_difference"] for r in cross_entropy.score(counted, cross_entropy.fit(counted), target="target").collect()}
+        scores = {r["doc_id"]: r["ce_difference"] for r in cross_entropy.score_documents(table(spark, rows), labels, F.col("quality") == 1).collect()}
         assert max(scores[i] for i in range(1, 60, 2)) < min(scores[i] for i in range(0, 60, 2))
-        none = cross_entropy.with_target(table(spark, rows), labels.where("false"), F.col("quality") == 1)
-        assert cross_entropy.score(none, cross_entropy.fit(none), target="target").where("ce_difference is null").count() == 0
+        none = cross_entropy.score_documents(table(spark, rows), labels.where("false"), F.col("quality") == 1)
+        assert none.where("ce_difference is null").count() == 0
+        assert cross_entropy.score_documents(table(spark, rows).where("false"), labels, F.col("quality") == 1).count() == 0
 
 
 class TestSuperkmers:
