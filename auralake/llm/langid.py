@@ -1,7 +1,8 @@
 """Language identification by nearest centroids.
 
 A text is a unit vector of character n-gram counts (bytes of the lower-cased
-text, 1 to 3 long, hashed to ``DIM`` cells), weighted by log frequency and
+letters, 1 to 3 long, hashed to ``DIM`` cells; ASCII marks and digits, which no
+language owns, count as blanks), weighted by log frequency and
 inverse document frequency. Each language has several centroids, found by
 spherical k-means among its examples; a text belongs to the language of the
 centroid with the largest cosine. It is rejected if the cosine is below the
@@ -10,7 +11,7 @@ cut-off of that language.
 Fitting takes at most ``SAMPLE_PER_LANGUAGE`` labelled texts of each language,
 those with the smallest hashes of their keys; a text enters the model as its
 count vector of ``DIM`` numbers, so what the driver gathers is bounded by
-languages x sample x DIM. The cut-off is a quarter of the smallest cosine that
+languages x sample x DIM. The cut-off is a tenth of the smallest cosine that
 an example of the language has to its own centroid, so that only texts unlike
 any example go.
 
@@ -37,14 +38,16 @@ SAMPLE_PER_LANGUAGE = 400
 MAX_LANGUAGES = 256
 CENTROIDS = 4
 ROUNDS = 8
-REJECT = 0.25
+REJECT = 0.1
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
+_BLANKS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def counts(text: str) -> np.ndarray:
-    """Hashed n-gram counts of a whole text, white space and digits folded."""
-    data = np.frombuffer(" ".join(["", *text.lower().split(), ""]).encode("utf-8", "replace"), np.uint8).astype(np.uint32)
+    """Hashed n-gram counts of a whole text, all between its words folded to one blank."""
+    words = text.lower().encode("utf-8", "replace").translate(_BLANKS).split()
+    data = np.frombuffer(b" ".join([b"", *words, b""]), np.uint8).astype(np.uint32)
     total = np.zeros(DIM)
     for at in range(0, len(data), 1 << 20):
         some = data[at : at + (1 << 20) + 2]

@@ -93,7 +93,7 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
 def op3_url_rules(spark, sf_dir: str) -> DataFrame:
     """The verdict on every page's URL."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, RULES)) + " AS rules(host, path, verdict)")
     return judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
