@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Failure classes in order of priority: the first that matches counts.
+# Classes of resolver messages in order of priority, and their patterns; the first that matches counts.
 FAILURES = [
-    ("RATE_LIMITED", r"429|too many requests|rate.?limit|confirm.*not a bot"),
-    ("UNAVAILABLE", r"unavailable|private video|removed|does not exist|terminated"),
-    ("GEO_BLOCKED", r"country|region|geo"),
-    ("AGE_RESTRICTED", r"age|sign in to confirm your age"),
-    ("NO_FORMAT", r"format"),
+    ("RATE_LIMITED", r"429|too many requests|rate.?limit|sign in to confirm.*not a bot"),
+    (
+        "UNAVAILABLE",
+        r"video unavailable|private video|video is private|removed by the uploader|does not exist|has been terminated|"
+        r"no longer available|unable to (?:extract|download) (?:video|webpage) data",
+    ),
+    ("GEO_BLOCKED", r"available in your country|geo.?restrict|blocked it in your country|not available from your location"),
+    ("AGE_RESTRICTED", r"age.?restrict|confirm your age|inappropriate for some users"),
+    ("NO_AUDIO_FORMAT", r"requested format is not available|no video formats found"),
 ]
-QUALIFIER = r"(?i)\s*[\(\[][^\)\]]*(audio|visual|lyric|official|live|remaster)[^\)\]]*[\)\]]"
+# Bracketed title parts that don't tell recordings apart.
+QUALIFIER = r"(?i)\((?:audio|visualiz[\p{L}\p{N}_]+|lyrics?|official[^)]*|live[^)]*|remaster[^)]*)\)"
 STAMPED = r"^\[(\d{2}):(\d{2})\.(\d{2,3})\](.*)$"
 
 
@@ -57,11 +64,29 @@ def failure_class(message: Column, otherwise: str = "RESOLVE_ERROR") -> Column:
     return found
 
 
+# Kinds of damage by what their lines contain; the first that fits counts.
+DAMAGE = [("invalid page number", "invalid page number"), ("out of order", "rowid out of order"), ("depth differs", "page depth differs")]
+
+
+def damage_kind(line: Column) -> Column:
+    found = F.lit("other")
+    for part, name in reversed(DAMAGE):
+        found = F.when(F.contains(line, F.lit(part)), name).otherwise(found)
+    return found
+
+
+def damage_summary(df: DataFrame, line: str) -> DataFrame:
+    """One row: kinds of damage with their numbers, by name; ``no problems`` without lines."""
+    kinds = df.groupBy(damage_kind(F.col(line)).alias("kind")).agg(F.count("*").alias("n"))
+    parts = F.array_sort(F.collect_list(F.concat("kind", F.lit(" x"), F.col("n").cast("string"))))
+    return kinds.agg(F.coalesce(F.nullif(F.array_join(parts, " · "), F.lit("")), F.lit("no problems")).alias("summary"))
+
+
 def clock(seconds: Column) -> Column:
     """mm:ss, h:mm:ss from an hour on, --:-- for what is no duration."""
     s = seconds.cast("double")
     whole = F.floor(F.when(F.isnan(s) | (s < 0) | (s == float("inf")), F.lit(0)).otherwise(s)).cast("long")
-    h, m, r = F.expr("0"), F.floor(whole / 60).cast("long"), whole % 60
+    r = whole % 60
     h, m = F.floor(whole / 3600).cast("long"), F.floor((whole % 3600) / 60).cast("long")
     odd = s.isNull() | F.isnan(s) | (s < 0) | (s == float("inf"))
     return F.when(odd, "--:--").when(h > 0, F.format_string("%d:%02d:%02d", h, m, r)).otherwise(F.format_string("%02d:%02d", m, r))
@@ -78,9 +103,21 @@ def truncate(value: Column, width: int) -> Column:
     return F.when(F.length(value) > width, F.concat(F.substring(value, 1, width - 1), F.lit("…"))).otherwise(value)
 
 
+def _accents() -> tuple[str, str]:
+    """Latin letters with marks, and the plain letters that their decompositions start with."""
+    of = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]}
+    of = {c: plain for c, plain in of.items() if plain != c and plain.isascii()}
+    return "".join(of), "".join(of.values())
+
+
+def fold(text: Column) -> Column:
+    """Lower case without diacritics."""
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}", ""), *_accents())
+
+
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, lower-cased."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits, lower-cased, without diacritics."""
+    return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def query_terms(query: Column) -> Column:
