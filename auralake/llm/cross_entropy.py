@@ -5,160 +5,256 @@ one vocabulary and one smoothing; a document's score is its cross-entropy under
 the target less that under the background, in nats a token (Moore and Lewis,
 2010): the lower, the more like the target.
 
-The shared vocabulary is hashed: words fall in 2**18 cells and word pairs in
-2**20, for both models alike. Every document is counted in full. Tasks add up
-their own rows before the shuffle, cells are summed by key, and the model that
-is gathered and broadcast has the size of the cells, however large the corpus.
+    p(w | v) = (n(v w) + MU p(w)) / (n(v) + MU),   p(w) = (n(w) + 1) / (N + V)
 
+A document is START, its words, END; words and END are predicted. N counts
+predictions, V is the number of different words, END included, in all documents.
 A document that is scored is left out of the models that it was counted in: its
-own counts are taken off first, so that a rare word that only this document
-holds is as unknown to one model as to the other.
-
-p(w | v) = (n(v w) + MU p(w)) / (n(v) + MU), with p(w) = (n(w) + 1) / (N + cells);
-a pair's count is at most its context's, as cells may be shared.
+own counts are taken off first, so that a word that only this document holds is
+as unknown to one model as to the other.
+
+Counts are exact and never meet in one place. Documents are gathered into blocks
+of bounded size. A block sends its distinct grams with their counts, sorted by a
+64-bit hash and cut by ranges of it, as packed strings to buckets; a bucket adds
+them up and answers each block with the totals of the grams that it asked for;
+then blocks score their documents. So both models grow with the corpus, a gram
+of any frequency is one entry of each block, and no task holds more than a block
+or a bucket. Buckets are ``4 x spark.sql.shuffle.partitions``. The driver sees
+four numbers of each bucket.
 
 Defined results: a null or blank text has no tokens and null scores. Rows that
 repeat count each and repeat their scores. A document is a target if its label
 is; null keys and labels of no document are no targets, and repeated labels
-count once. Without targets both scores stay defined (the target is uniform).
+count once. Without targets the target model is uniform and scores stay defined.
+An empty table gives an empty one. Columns other than those named are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auralake.llm.session import append_columns
+from auralake.llm.session import materialise, shuffle_partitions
 
-WORD_BITS = 18
-PAIR_BITS = 20
-WORDS, PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
 MU = 50.0
-#: Stands before the first word.
-START = np.uint32(0x51ED270B)
-
-
-def cells(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token the cell of its word, of its context and of the pair."""
-    found = (text or "").lower().encode("utf-8", "replace").split()
-    own = np.fromiter(map(zlib.crc32, found), np.uint32, len(found))
-    before = np.concatenate([[START], own[:-1]]).astype(np.uint32) if len(own) else own
-    pair = (before * np.uint32(0x9E3779B1) ^ own) * np.uint32(0x85EBCA6B)
-    return own >> np.uint32(32 - WORD_BITS), before >> np.uint32(32 - WORD_BITS), pair >> np.uint32(32 - PAIR_BITS)
+BLOCK_BYTES = 8 << 20
+#: Words never hold white space, so these hashes are no word's.
+START, END = (np.uint64(xxhash.xxh3_64_intdigest(x) | 1) for x in (b"<start> ", b"<end> "))
+
+
+def words(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "replace").split()
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of 64-bit numbers by their place, which lie close for small ones."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unplanes(data: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n).reshape(8, n).T).view("<u8").ravel()
+
+
+class Grams:
+    """The words and word pairs of a block: sorted distinct hashes, and where each token's are."""
+
+    def __init__(self, texts: list[bytes | None]):
+        parts, sizes = [], []
+        for text in texts:
+            found = (text or b"").split()
+            sizes.append(len(found))
+            if found:
+                parts += [[int(START)], map(xxhash.xxh3_64_intdigest, found), [int(END)]]
+        self.sizes = np.array(sizes, np.int64)
+        spans = np.where(self.sizes > 0, self.sizes + 2, 0)
+        one = np.fromiter(chain.from_iterable(parts), np.uint64, int(spans.sum())) | np.uint64(1)
+        # Odd hashes are words, even ones are pairs; a pair stands at its second word.
+        two = one.copy()
+        two[1:] = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ one[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        two ^= two >> np.uint64(29)
+        two &= ~np.uint64(1)
+        self.doc = np.repeat(np.arange(len(sizes)), spans)
+        self.predicted = np.ones(len(one), bool)
+        self.predicted[(np.cumsum(spans) - spans)[spans > 0]] = False
+        pairs = two[self.predicted]
+        self.distinct, place = np.unique(np.concatenate([one, pairs]), return_inverse=True)
+        self.word = place[: len(one)]
+        self.pair = place[len(one) :]
+
+    def counts(self, chosen: np.ndarray) -> np.ndarray:
+        """How often each distinct gram occurs in the chosen documents."""
+        pick = chosen[self.doc]
+        n = len(self.distinct)
+        return np.bincount(self.word[pick], minlength=n) + np.bincount(self.pair[pick[self.predicted]], minlength=n)
+
+    def own(self, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """For each token how often its gram occurs in its own document."""
+        _, inverse, times = np.unique(doc * np.int64(len(self.distinct) + 1) + place, return_inverse=True, return_counts=True)
+        return times[inverse]
+
+    def losses(self, totals: np.ndarray, predictions: np.ndarray, vocabulary: int) -> np.ndarray:
+        """Mean loss of each document: rows target, target less the document, background less the document."""
+        doc, words_ = self.doc[self.predicted], self.word[self.predicted]
+        before = self.word[np.flatnonzero(self.predicted) - 1]
+        own_word, own_pair = self.own(self.word, self.doc), self.own(self.pair, doc)
+        own_before = own_word[np.flatnonzero(self.predicted) - 1]
+        own_word = own_word[self.predicted]
+        length = self.sizes[doc] + 1
+        out = np.full((3, len(self.sizes)), np.nan)
+        held = self.sizes > 0
+        for row, (model, less) in enumerate(((0, 0), (0, 1), (1, 1))):
+            n = totals[model].astype(np.float64)
+            # A document that isn't a target was never counted there; what leaving it out would give isn't used.
+            take = lambda place, own: np.maximum(n[place] - less * own, 0)  # noqa: B023, E731
+            alone = (take(words_, own_word) + 1) / (np.maximum(predictions[model] - less * length, 0) + vocabulary)
+            loss = -np.log((take(self.pair, own_pair) + MU * alone) / (take(before, own_before) + MU))
+            out[row, held] = np.bincount(doc, loss, len(self.sizes))[held] / (self.sizes[held] + 1)
+        return out
+
+
+def _blocks(docs: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame:
+    """(block, keys, texts): documents by the block, their lower-cased texts packed; lengths of -1 stand for null."""
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(docs.schema[key].dataType)), T.StructField("texts", T.BinaryType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, held, size, count = zstandard.ZstdCompressor(level=3), [], 0, TaskContext.get().partitionId() << 32
+        kind = None
 
-class Models:
-    """Counts of both models and what scoring needs of them."""
+        def block(number: int) -> pa.RecordBatch:
+            keys, texts = zip(*held, strict=True)
+            lengths = np.array([-1 if t is None else len(t) for t in texts], "<i8")
+            body = squeeze.compress(lengths.tobytes() + b"".join(t or b"" for t in texts))
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([list(keys)], pa.list_(kind)), pa.array([body], pa.binary())], names=schema.fieldNames())
 
-    def __init__(self, counts: np.ndarray):
-        """``counts``: rows target and background; columns words, contexts, then pairs."""
-        self.word, self.context, self.pair = counts[:, :WORDS], counts[:, WORDS : 2 * WORDS], counts[:, 2 * WORDS :]
-        self.total = self.word.sum(axis=1, dtype=np.float64)
+        for batch in batches:
+            kind = batch.column(0).type
+            for at in range(batch.num_rows):
+                value = batch.column(1)[at].as_py()
+                data = None if value is None else value.lower().encode("utf-8", "replace")
+                held.append((batch.column(0)[at].as_py(), data))
+                size += len(data or b"") + 64
+                if size >= block_bytes:
+                    yield block(count)
+                    held, size, count = [], 0, count + 1
+        if held:
+            yield block(count)
 
-    def losses(self, text: str | None, counted: tuple[bool, bool] = (False, False)) -> tuple[int, float | None, float | None]:
-        """Tokens, and cross-entropy under the target and the background; ``counted``: in which of them the text is."""
-        word, context, pair = cells(text)
-        if not len(word):
-            return 0, None, None
-        own = [_times(x) for x in (word, context, pair)] if any(counted) else []
-        out = []
-        for k in (0, 1):
-            less = own if counted[k] else (0, 0, 0)
-            alone = (self.word[k][word] - less[0] + 1.0) / (self.total[k] - counted[k] * len(word) + WORDS)
-            seen = self.context[k][context] - less[1]
-            both = np.minimum(self.pair[k][pair] - less[2], seen)
-            out.append(float(-np.log((both + MU * alone) / (seen + MU)).mean()))
-        return len(word), *out
+    return docs.select(key, text).mapInArrow(run, schema)
 
 
-def _times(x: np.ndarray) -> np.ndarray:
-    """How often each value occurs in all."""
-    _, inverse, times = np.unique(x, return_inverse=True, return_counts=True)
-    return times[inverse]
+def _texts(body: bytes, n: int) -> list[bytes | None]:
+    data = zstandard.ZstdDecompressor().decompress(body)
+    lengths = np.frombuffer(data, "<i8", n)
+    ends = (8 * n + np.cumsum(np.maximum(lengths, 0))).tolist()
+    return [None if size < 0 else data[end - size : end] for size, end in zip(lengths.tolist(), ends, strict=True)]
 
 
-def count(df: DataFrame, text: str = "text", target: str = "target") -> DataFrame:
-    """(cell, target, background): counts over all rows; cells of words, contexts and pairs in turn."""
+def _asked(marked: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, n, body): the distinct grams of each block with their counts, by ranges of their hashes."""
+    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2 * WORDS + PAIRS), np.int64)
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for x, hit in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                word, context, pair = cells(x.as_py())
-                at = np.concatenate([word, context + np.uint32(WORDS), pair + np.uint32(2 * WORDS)])
-                np.add.at(total[1], at, 1)
-                if hit:
-                    np.add.at(total[0], at, 1)
-        seen = np.flatnonzero(total[1])
-        for lo in range(0, len(seen), 1 << 16):
-            some = seen[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0, some]), pa.array(total[1, some])], names=["cell", "target", "background"])
-
-    counted = df.select(F.col(text), F.col(target)).mapInArrow(run, "cell long, target long, background long")
-    return counted.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def fit(df: DataFrame, text: str = "text", target: str = "target") -> Models:
-    """Both models. At most 2**19 + 2**20 rows of three numbers come to the driver."""
-    found = count(df, text, target).toArrow()
-    counts = np.zeros((2, 2 * WORDS + PAIRS), np.float64)
-    at = found.column("cell").to_numpy()
-    counts[0, at], counts[1, at] = found.column("target").to_numpy(), found.column("background").to_numpy()
-    return Models(counts)
-
-
-SCORES = ("n_tokens", "ce_target", "ce_background", "ce_left_out")
-
-
-def score(df: DataFrame, models: Models, text: str = "text", counted: bool = False) -> DataFrame:
-    """Add n_tokens, ce_target, ce_background and ce_left_out.
-
-    ``counted``: the rows of ``df`` are those that the background was counted on, so each is left out of it;
-    ce_left_out is the cross-entropy under the target less the row itself, for rows that were counted there too.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(models)
-    fields = [T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in SCORES[1:])]
-
-    def start():
-        own = shared.value
-
-        def of(batch: pa.RecordBatch) -> list[pa.Array]:
-            found = []
-            for x in batch.column(batch.schema.get_field_index(text)):
-                n, target, background = own.losses(x.as_py(), (False, counted))
-                found.append((n, target, background, own.losses(x.as_py(), (True, counted))[1] if counted else None))
-            return [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)]
-
-        return of
-
-    return append_columns(df, fields, start)
-
-
-def with_target(docs: DataFrame, labels: DataFrame, chosen, key: str = "doc_id") -> DataFrame:
-    """``docs`` with a boolean target: whether a label for which ``chosen`` holds has the key.
-
-    Labels grow with the documents, so neither side is broadcast, whatever its size.
-    """
-    hits = labels.where(chosen).select(key).distinct().withColumn("target", F.lit(True))
-    return docs.select([c for c in docs.columns if c.lower() != "target"]).join(hits.hint("merge"), key, "left").withColumn("target", F.coalesce("target", F.lit(False)))
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, chosen, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ce_target, ce_background, ce_difference) of every row, each left out of the models that it is in.
-
-    Texts are shuffled once, to meet their labels for counting. Scoring reads them where they are, with and
-    without themselves, and the labels choose between these few numbers.
-    """
-    models = fit(with_target(docs.select(key, text), labels, chosen, key), text)
-    scored = with_target(score(docs.select(key, text), models, text, counted=True).drop(text), labels, chosen, key)
-    target = F.when(F.col("target"), F.col("ce_left_out")).otherwise(F.col("ce_target"))
-    return scored.select(key, "n_tokens", target.alias("ce_target"), "ce_background", (target - F.col("ce_background")).alias("ce_difference"))
+            for block, texts, size, targets in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                grams = Grams(_texts(texts, size))
+                target = np.zeros(size, bool)
+                target[targets or []] = True
+                every, good = grams.counts(np.ones(size, bool)), grams.counts(target)
+                cuts = [0, *np.searchsorted(grams.distinct, edges).tolist(), len(grams.distinct)]
+                rows = []
+                for bucket, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    if b > a:
+                        gaps = np.diff(grams.distinct[a:b], prepend=np.uint64(0))
+                        rows.append((bucket, block, b - a, squeeze.compress(_planes(gaps) + _planes(every[a:b]) + _planes(good[a:b]))))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "block", "n", "body"])
+
+    return marked.select("block", "texts", F.size("keys").alias("size"), "targets").mapInArrow(run, "bucket long, block long, n long, body binary")
+
+
+ANSWER = "block long, bucket long, n long, body binary, words long, tokens array<long>, starts array<long>"
+
+
+def _answer(messages: pa.Table) -> pa.Table:
+    """For each block's message the totals of its grams; in one more row what the bucket adds to the models' sizes."""
+    open_, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+    sizes = messages.column("n").to_pylist()
+    grams, every, good = [], [], []
+    for n, body in zip(sizes, messages.column("body").to_pylist(), strict=True):
+        data = open_.decompress(body)
+        grams.append(np.cumsum(_unplanes(data, n), dtype=np.uint64))
+        every.append(_unplanes(data[8 * n :], n))
+        good.append(_unplanes(data[16 * n :], n))
+    distinct, place = np.unique(np.concatenate(grams), return_inverse=True)
+    total = [np.bincount(place, np.concatenate(x), len(distinct)).astype(np.int64) for x in (good, every)]
+    cuts = np.cumsum([0, *sizes]).tolist()
+    bodies = [squeeze.compress(b"".join(_planes(t[place[a:b]]) for t in total)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    odd = (distinct & np.uint64(1)).astype(bool)
+    start = distinct == START
+    size = {"words": int((odd & ~start).sum()), "tokens": [int(t[odd & ~start].sum()) for t in total], "starts": [int(t[start].sum()) for t in total]}
+    buckets, blocks = messages.column("bucket").to_pylist(), messages.column("block").to_pylist()
+    m = len(sizes)
+    columns = {
+        "block": pa.array([*blocks, None], pa.int64()),
+        "bucket": pa.array([*buckets, buckets[0]], pa.int64()),
+        "n": pa.array([*sizes, 0], pa.int64()),
+        "body": pa.array([*bodies, None], pa.binary()),
+        "words": pa.array([None] * m + [size["words"]], pa.int64()),
+        "tokens": pa.array([None] * m + [size["tokens"]], pa.list_(pa.int64())),
+        "starts": pa.array([None] * m + [size["starts"]], pa.list_(pa.int64())),
+    }
+    return pa.table(columns)
+
+
+def score_blocks(blocks: DataFrame, answers: DataFrame, kind: T.DataType, key: str) -> DataFrame:
+    """(key, n_tokens, ce_target, ce_left_out, ce_background) of the documents of each block."""
+    sums = answers.where("block is null").agg(F.sum("words"), *[F.sum(F.col("tokens")[i]) for i in (0, 1)]).first()
+    vocabulary, predictions = sums[0] or 0, (sums[1] or 0, sums[2] or 0)
+    schema = T.StructType([T.StructField(key, kind), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("ce_target", "ce_left_out", "ce_background"))])
+
+    def run(own: pa.Table, told: pa.Table) -> pa.Table:
+        open_, out = zstandard.ZstdDecompressor(), []
+        keys = own.column("keys").combine_chunks().flatten()
+        grams = Grams(_texts(own.column("texts")[0].as_py(), len(keys)))
+        totals = np.zeros((2, len(grams.distinct)), np.int64)
+        at = 0
+        for _, n, body in sorted(zip(told.column("bucket").to_pylist(), told.column("n").to_pylist(), told.column("body").to_pylist(), strict=True)):
+            data = open_.decompress(body)
+            totals[0, at : at + n], totals[1, at : at + n] = _unplanes(data, n), _unplanes(data[8 * n :], n)
+            at += n
+        out = grams.losses(totals, predictions, vocabulary)
+        columns = [keys, pa.array(grams.sizes), *(pa.array(x, mask=np.isnan(x)) for x in out)]
+        return pa.Table.from_arrays(columns, names=schema.fieldNames())
+
+    told = answers.where("block is not null").select("block", "bucket", "n", "body")
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, chosen, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
+    """(key, n_tokens, ce_target, ce_background, ce_difference) of every row, each left out of the models that it is in."""
+    buckets = buckets or 4 * shuffle_partitions(docs.sparkSession)
+    hits = labels.where(chosen).where(F.col(key).isNotNull()).select(key).distinct()
+    # Block numbers must not change once they are given, so the blocks are written.
+    blocks = materialise(_blocks(docs, key, text, block_bytes))
+    placed = blocks.select("block", F.posexplode("keys").alias("at", key))
+    targets = placed.join(hits.hint("merge"), key, "left_semi").groupBy("block").agg(F.collect_list("at").alias("targets"))
+    marked = blocks.join(targets.hint("merge"), "block", "left")
+    answers = materialise(_asked(marked, buckets).groupBy("bucket").applyInArrow(_answer, ANSWER))
+    scored = score_blocks(blocks, answers, docs.schema[key].dataType, key)
+    # Labels grow with the documents, so neither side is broadcast, whatever its size.
+    flagged = scored.join(hits.withColumn("_target", F.lit(True)).hint("merge"), key, "left")
+    target = F.when(F.col("_target"), F.col("ce_left_out")).otherwise(F.col("ce_target"))
+    return flagged.select(key, "n_tokens", target.alias("ce_target"), "ce_background", (target - F.col("ce_background")).alias("ce_difference"))
 
 
 def op8_cross_entropy(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import xxhash
 
@@ -103,6 +105,23 @@ def pieces(word: str, vocabulary: set[str]) -> int | None:
     return found
 
 
+def cross_entropies(rows: list[tuple[int | None, str | None]], target: set[int], mu: float) -> list[tuple | None]:
+    """(words, loss under the target, loss under all) of each row, itself left out; None without words."""
+    sequences = [[b"<s>", *[w for w in words((t or "").lower())], b"</s>"] if words(t) else [] for _, t in rows]
+    vocabulary = {w for s in sequences for w in s[1:]}
+
+    def loss(i: int, members: list[int]) -> float:
+        rest = [sequences[j] for j in members if j != i]
+        one, two = Counter(w for s in rest for w in s), Counter(p for s in rest for p in zip(s, s[1:]))
+        n = sum(len(s) - 1 for s in rest if s)
+        own = sequences[i]
+        each = [-math.log((two[v, w] + mu * (one[w] + 1) / (n + len(vocabulary))) / (one[v] + mu)) for v, w in zip(own, own[1:])]
+        return sum(each) / len(each)
+
+    good = [i for i, (k, _) in enumerate(rows) if k in target]
+    return [(len(s) - 2, loss(i, good), loss(i, list(range(len(rows))))) if s else None for i, s in enumerate(sequences)]
+
+
 def verdict(url: str | None, rules: list[tuple[str, str, str]]) -> tuple:
     """(host, path, rule, verdict)."""
     rest = url.partition("://")[2] if url and "://" in url else ""

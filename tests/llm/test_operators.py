@@ -258,29 +258,23 @@ def test_line_runs(spark, corpus, least):
 
 
 class TestCrossEntropy:
-    def test_counts_and_leaving_out(self, spark, corpus):
-        rows = [*corpus, corpus[0]]
-        target = {k for k, _ in rows if k % 2 == 0}
-        labels = spark.createDataFrame([(k, 1) for k in target] + [(None, 1), (min(target), 1)], "doc_id long, quality int")
-        models = cross_entropy.fit(cross_entropy.with_target(table(spark, rows), labels, F.col("quality") == 1))
-        assert models.total[1] == sum(len((t or "").split()) for _, t in rows)
-        got = cross_entropy.score_documents(table(spark, rows), labels, F.col("quality") == 1).collect()
-        assert len(got) == len(rows)
-
-        def counts(texts):
-            out = np.zeros(2 * cross_entropy.WORDS + cross_entropy.PAIRS)
-            for t in texts:
-                word, context, pair = cross_entropy.cells(t)
-                np.add.at(out, np.concatenate([word, context + np.uint32(cross_entropy.WORDS), pair + np.uint32(2 * cross_entropy.WORDS)]), 1)
-            return out
-
-        texts = dict(corpus)
-        for r in [r for r in got if r["n_tokens"]][:15]:
-            rest = list(rows)
-            rest.remove((r["doc_id"], texts[r["doc_id"]]))
-            both = cross_entropy.Models(np.array([counts(t for k, t in rest if k in target), counts(t for _, t in rest)]))
-            assert both.losses(texts[r["doc_id"]]) == pytest.approx((r["n_tokens"], r["ce_target"], r["ce_background"]))
-        assert all(r["ce_difference"] is None for r in got if not r["n_tokens"])
+    @pytest.mark.parametrize("block_bytes,buckets", [(1, 3), (20_000, 1), (8 << 20, 7)])
+    def test_scores_are_those_of_plain_counting(self, spark, corpus, block_bytes, buckets):
+        rows = [*corpus, corpus[0], (None, "a b a b keyless")]
+        target = {k for k, _ in rows if k is not None and k % 2 == 0}
+        labels = spark.createDataFrame([(k, 1) for k in target] + [(None, 1), (min(target), 1), (10**6, 1)], "doc_id long, quality int")
+        got = cross_entropy.score_documents(table(spark, rows), labels, F.col("quality") == 1, block_bytes=block_bytes, buckets=buckets).collect()
+        want = brute.cross_entropies(rows, target, cross_entropy.MU)
+        assert sorted(map(str, (r["doc_id"] for r in got))) == sorted(map(str, (k for k, _ in rows)))
+        by = {}
+        for (k, _), w in zip(rows, want, strict=True):
+            by[k] = w
+        for r in got:
+            if by[r["doc_id"]] is None:
+                assert (r["n_tokens"], r["ce_target"], r["ce_background"], r["ce_difference"]) == (0, None, None, None)
+            else:
+                assert (r["n_tokens"], r["ce_target"], r["ce_background"]) == pytest.approx(by[r["doc_id"]])
+                assert r["ce_difference"] == pytest.approx(by[r["doc_id"]][1] - by[r["doc_id"]][2])
 
     def test_like_the_target_is_lower(self, spark):
         rng = random.Random(0)
@@ -291,7 +285,7 @@ class TestCrossEntropy:
         scores = {r["doc_id"]: r["ce_difference"] for r in cross_entropy.score_documents(table(spark, rows), labels, F.col("quality") == 1).collect()}
         assert max(scores[i] for i in range(1, 60, 2)) < min(scores[i] for i in range(0, 60, 2))
         none = cross_entropy.score_documents(table(spark, rows), labels.where("false"), F.col("quality") == 1)
-        assert none.where("ce_difference is null").count() == 0
+        assert none.where("ce_difference is null").count() == 0 and none.count() == 60
         assert cross_entropy.score_documents(table(spark, rows).where("false"), labels, F.col("quality") == 1).count() == 0
 
 
