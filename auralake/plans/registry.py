@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auralake.operators import vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: The events' times have no zone and are taken as UTC, whatever the session's zone.
-MICROS = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+
+
+def micros(column: str = "ts") -> Column:
+    """Epoch microseconds; the events' times have no zone and are taken as UTC, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {column})")
 
 
 class Tables:
@@ -71,7 +74,7 @@ class Tables:
     @property
     def peaks(self) -> DataFrame:
         """The largest value of each user, hour and event type."""
-        hour = F.floor((F.floor(MICROS / 1000000) - 1704067200) / 3600).cast("int")
+        hour = F.floor((F.floor(micros() / 1000000) - 1704067200) / 3600).cast("int")
         band = F.expr("CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END")
         return self.events.select(F.col("user_id").alias("id"), hour.alias("frame"), band.alias("band"), "value").groupBy("id", "frame", "band").agg(F.max("value").alias("mag"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auralake.functions import music
 from auralake.functions import text as tx
 from auralake.operators import jobs, maintenance, ordered, radio, recording, relational, stats
-from auralake.plans.registry import DISTANCE, FEATURES, MICROS, PEAKS, RECORDINGS, TRACKS, Tables, query
+from auralake.plans.registry import DISTANCE, FEATURES, PEAKS, RECORDINGS, TRACKS, Tables, query, micros
 from auralake.sources import audio, resolve
 
 
@@ -63,7 +63,7 @@ def s12_first_tag(t: Tables) -> DataFrame:
 @query("""WITH c AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE CAST(epoch(date_trunc('second', ts)) AS BIGINT) END AS expires FROM events)
 SELECT event_id, expires FROM c WHERE expires = 0 OR 1705000000 + 600 < expires""")
 def s15_live_urls(t: Tables) -> DataFrame:
-    cache = t.events.select("event_id", F.when(F.col("event_id") % 5 == 0, F.lit(0)).otherwise(F.floor(MICROS / 1000000)).cast("long").alias("expires"))
+    cache = t.events.select("event_id", F.when(F.col("event_id") % 5 == 0, F.lit(0)).otherwise(F.floor(micros() / 1000000)).cast("long").alias("expires"))
     return resolve.live(cache, F.lit(1705000000))
 
 
@@ -280,7 +280,7 @@ def a12_best_cut(t: Tables) -> DataFrame:
 @query("""SELECT event_type, round(sum(s), 3) AS seconds FROM (
   SELECT event_type, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1e6 AS s FROM events) x GROUP BY event_type""")
 def a13_stage_seconds(t: Tables) -> DataFrame:
-    found = stats.stage_seconds(t.events.withColumn("s", MICROS / 1e6), "user_id", "event_type", "s", ["ts", "event_id"])
+    found = stats.stage_seconds(t.events.withColumn("s", micros() / 1e6), "user_id", "event_type", "s", ["ts", "event_id"])
     return found.withColumn("seconds", F.round("seconds", 3))
 
 

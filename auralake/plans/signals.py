@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from auralake.functions import bits, music
 from auralake.operators import ordered, radio, recording, signal
-from auralake.plans.registry import FEATURES, MICROS, PEAKS, RECORDINGS, Tables, query
+from auralake.plans.registry import FEATURES, PEAKS, RECORDINGS, Tables, query, micros
 from auralake.plans.relations import HALVES, SHARED
 from auralake.sources import audio
 
@@ -67,7 +67,7 @@ def w11_ewma(t: Tables) -> DataFrame:
 r AS (SELECT user_id, event_id, count(*) OVER w AS n, max(sec) OVER w - min(sec) OVER w AS span FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
 SELECT user_id, event_id, round(CASE WHEN span > 0 THEN (n - 1) / span END, 9) AS rate FROM r""")
 def w12_throughput(t: Tables) -> DataFrame:
-    timed = t.events.select("user_id", "event_id", "ts", (MICROS / 1e6).alias("sec"))
+    timed = t.events.select("user_id", "event_id", "ts", (micros() / 1e6).alias("sec"))
     return ordered.throughput(timed, ["user_id"], ["ts", "event_id"], "sec").select("user_id", "event_id", F.round("rate", 9).alias("rate"))
 
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auralake.plans.registry import MICROS, Tables, query
+from auralake.plans.registry import Tables, query, micros
 from auralake.streaming import incremental
 
 
@@ -68,6 +68,6 @@ def s13_st6_event_log(t: Tables) -> DataFrame:
     from auralake.sources import tables
 
     root = _folder(t)
-    tables.write_log(t.events.select(MICROS.alias("ts"), F.col("event_type").alias("status"), F.col("value").alias("elapsed_s")), f"{root}/log")
+    tables.write_log(t.events.select(micros().alias("ts"), F.col("event_type").alias("status"), F.col("value").alias("elapsed_s")), f"{root}/log")
     kept = _settle(t, tables.read_log(t.spark, f"{root}/log", stream=True).select("status", "elapsed_s"), "append")
     return kept.groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("elapsed_s"), 4).alias("elapsed"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auralake.functions import text as tx
 from auralake.operators import jobs, search
-from auralake.plans.registry import MICROS, TRACKS, Tables, query
+from auralake.plans.registry import TRACKS, Tables, query, micros
 
 TOKENS = r"tokens AS (SELECT doc_id AS id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS term FROM documents)"
 
@@ -98,7 +98,7 @@ def t14_t15_x4_width_and_digest(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms, strftime(ts, '%H:%M:%S') AS stamp FROM events")
 def t17_epoch(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.floor(MICROS / 1000).cast("long").alias("ms"), F.date_format("ts", "HH:mm:ss").alias("stamp"))
+    return t.events.select("event_id", F.floor(micros() / 1000).cast("long").alias("ms"), F.date_format("ts", "HH:mm:ss").alias("stamp"))
 
 
 @query("""WITH have AS (SELECT d.doc_id, lower(trim(d.source)) AS a, lower(trim(d.lang)) AS l, l.quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1),
