@@ -19,8 +19,8 @@ of bounded size. A block sends its distinct grams with their counts, sorted by a
 them up and answers each block with the totals of the grams that it asked for;
 then blocks score their documents. So both models grow with the corpus, a gram
 of any frequency is one entry of each block, and no task holds more than a block
-or a bucket. Buckets are ``4 x spark.sql.shuffle.partitions``. The driver sees
-four numbers of each bucket.
+or a bucket. Buckets are ``4 x spark.sql.shuffle.partitions``. Nothing comes to the
+driver.
 
 Defined results: a null or blank text has no tokens and null scores. Rows that
 repeat count each and repeat their scores. A document is a target if its label
@@ -36,6 +36,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -165,7 +166,7 @@ def _asked(marked: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for block, texts, size, targets in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for block, texts, targets, size in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), pc.list_value_length(batch.column(1)).to_pylist(), strict=True):
                 grams = Grams(_texts(texts, size))
                 target = np.zeros(size, bool)
                 target[targets or []] = True
@@ -173,20 +174,18 @@ def _asked(marked: DataFrame, buckets: int) -> DataFrame:
                 cuts = [0, *np.searchsorted(grams.distinct, edges).tolist(), len(grams.distinct)]
                 rows = []
                 for bucket, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    if b > a:
-                        gaps = np.diff(grams.distinct[a:b], prepend=np.uint64(0))
-                        rows.append((bucket, block, b - a, squeeze.compress(_planes(gaps) + _planes(every[a:b]) + _planes(good[a:b]))))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "block", "n", "body"])
+                    gaps = np.diff(grams.distinct[a:b], prepend=np.uint64(0))
+                    rows.append((bucket, block, b - a, squeeze.compress(_planes(gaps) + _planes(every[a:b]) + _planes(good[a:b]))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "block", "n", "body"])
 
-    return marked.select("block", "texts", F.size("keys").alias("size"), "targets").mapInArrow(run, "bucket long, block long, n long, body binary")
+    return marked.select("block", "keys", "texts", "targets").mapInArrow(run, "bucket long, block long, n long, body binary")
 
 
-ANSWER = "block long, bucket long, n long, body binary, words long, tokens array<long>, starts array<long>"
+ANSWER = "block long, bucket long, n long, body binary, words long, target long, background long"
 
 
 def _answer(messages: pa.Table) -> pa.Table:
-    """For each block's message the totals of its grams; in one more row what the bucket adds to the models' sizes."""
+    """For each block's message the totals of its grams, and what the bucket adds to the vocabulary and to both models."""
     open_, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
     sizes = messages.column("n").to_pylist()
     grams, every, good = [], [], []
@@ -199,45 +198,33 @@ def _answer(messages: pa.Table) -> pa.Table:
     total = [np.bincount(place, np.concatenate(x), len(distinct)).astype(np.int64) for x in (good, every)]
     cuts = np.cumsum([0, *sizes]).tolist()
     bodies = [squeeze.compress(b"".join(_planes(t[place[a:b]]) for t in total)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    odd = (distinct & np.uint64(1)).astype(bool)
-    start = distinct == START
-    size = {"words": int((odd & ~start).sum()), "tokens": [int(t[odd & ~start].sum()) for t in total], "starts": [int(t[start].sum()) for t in total]}
-    buckets, blocks = messages.column("bucket").to_pylist(), messages.column("block").to_pylist()
-    m = len(sizes)
-    columns = {
-        "block": pa.array([*blocks, None], pa.int64()),
-        "bucket": pa.array([*buckets, buckets[0]], pa.int64()),
-        "n": pa.array([*sizes, 0], pa.int64()),
-        "body": pa.array([*bodies, None], pa.binary()),
-        "words": pa.array([None] * m + [size["words"]], pa.int64()),
-        "tokens": pa.array([None] * m + [size["tokens"]], pa.list_(pa.int64())),
-        "starts": pa.array([None] * m + [size["starts"]], pa.list_(pa.int64())),
-    }
-    return pa.table(columns)
-
-
-def score_blocks(blocks: DataFrame, answers: DataFrame, kind: T.DataType, key: str) -> DataFrame:
-    """(key, n_tokens, ce_target, ce_left_out, ce_background) of the documents of each block."""
-    sums = answers.where("block is null").agg(F.sum("words"), *[F.sum(F.col("tokens")[i]) for i in (0, 1)]).first()
-    vocabulary, predictions = sums[0] or 0, (sums[1] or 0, sums[2] or 0)
+    predicted = (distinct & np.uint64(1)).astype(bool) & (distinct != START)
+    sums = [int(predicted.sum()), *(int(t[predicted].sum()) for t in total)]
+    columns = [messages.column("block"), messages.column("bucket"), messages.column("n"), pa.array(bodies, pa.binary()), *(pa.array([x] * len(sizes), pa.int64()) for x in sums)]
+    return pa.table(columns, names=["block", "bucket", "n", "body", "words", "target", "background"])
+
+
+def _score(key: str, kind: T.DataType):
+    """Scores a block's documents by the answers that it got; (key, n_tokens, ce_target, ce_left_out, ce_background)."""
     schema = T.StructType([T.StructField(key, kind), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("ce_target", "ce_left_out", "ce_background"))])
 
-    def run(own: pa.Table, told: pa.Table) -> pa.Table:
-        open_, out = zstandard.ZstdDecompressor(), []
-        keys = own.column("keys").combine_chunks().flatten()
-        grams = Grams(_texts(own.column("texts")[0].as_py(), len(keys)))
-        totals = np.zeros((2, len(grams.distinct)), np.int64)
-        at = 0
-        for _, n, body in sorted(zip(told.column("bucket").to_pylist(), told.column("n").to_pylist(), told.column("body").to_pylist(), strict=True)):
-            data = open_.decompress(body)
-            totals[0, at : at + n], totals[1, at : at + n] = _unplanes(data, n), _unplanes(data[8 * n :], n)
-            at += n
-        out = grams.losses(totals, predictions, vocabulary)
-        columns = [keys, pa.array(grams.sizes), *(pa.array(x, mask=np.isnan(x)) for x in out)]
-        return pa.Table.from_arrays(columns, names=schema.fieldNames())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(batch.num_rows):
+                keys, texts, told = (batch.column(i).slice(at, 1) for i in range(3))
+                keys, told = keys.flatten(), told.flatten()
+                grams = Grams(_texts(texts[0].as_py(), len(keys)))
+                totals, done = np.zeros((2, len(grams.distinct)), np.int64), 0
+                for _, n, body in sorted(zip(*(told.field(c).to_pylist() for c in ("bucket", "n", "body")), strict=True)):
+                    data = open_.decompress(body)
+                    totals[0, done : done + n], totals[1, done : done + n] = _unplanes(data, n), _unplanes(data[8 * n :], n)
+                    done += n
+                words_, target, background = (pc.sum(told.field(c)).as_py() for c in ("words", "target", "background"))
+                found = grams.losses(totals, (target, background), words_)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(grams.sizes), *(pa.array(x, mask=np.isnan(x)) for x in found)], names=schema.fieldNames())
 
-    told = answers.where("block is not null").select("block", "bucket", "n", "body")
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
+    return run, schema
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, chosen, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
@@ -249,8 +236,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, chosen, key: str = "doc_
     placed = blocks.select("block", F.posexplode("keys").alias("at", key))
     targets = placed.join(hits.hint("merge"), key, "left_semi").groupBy("block").agg(F.collect_list("at").alias("targets"))
     marked = blocks.join(targets.hint("merge"), "block", "left")
-    answers = materialise(_asked(marked, buckets).groupBy("bucket").applyInArrow(_answer, ANSWER))
-    scored = score_blocks(blocks, answers, docs.schema[key].dataType, key)
+    answers = _asked(marked, buckets).groupBy("bucket").applyInArrow(_answer, ANSWER)
+    told = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "body", "words", "target", "background")).alias("told"))
+    scored = blocks.join(told.hint("merge"), "block").select("keys", "texts", "told").mapInArrow(*_score(key, docs.schema[key].dataType))
     # Labels grow with the documents, so neither side is broadcast, whatever its size.
     flagged = scored.join(hits.withColumn("_target", F.lit(True)).hint("merge"), key, "left")
     target = F.when(F.col("_target"), F.col("ce_left_out")).otherwise(F.col("ce_target"))
