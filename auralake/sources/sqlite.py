@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
-KINDS = {"INTEGER": "long", "INT": "long", "REAL": "double", "TEXT": "string", "BLOB": "binary"}
+KINDS = {"INTEGER": T.LongType(), "INT": T.LongType(), "REAL": T.DoubleType(), "TEXT": T.StringType(), "BLOB": T.BinaryType()}
 SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
@@ -42,7 +42,7 @@ class SqliteSource(DataSource):
             columns = connection.execute(f"PRAGMA table_info({_name(self.options['dbtable'])})").fetchall()
         if not columns:
             raise ValueError(f"no table {self.options['dbtable']}")
-        return T.StructType([T.StructField(c[1], T._parse_datatype_string(KINDS.get((c[2] or "TEXT").upper().split("(")[0], "string"))) for c in columns])
+        return T.StructType([T.StructField(c[1], KINDS.get((c[2] or "TEXT").upper().split("(")[0], T.StringType())) for c in columns])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return SqliteReader(self, schema)
