@@ -87,4 +87,6 @@ class SqliteReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known to a session, and let its filters run in SQLite."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     spark.dataSource.register(SqliteSource)
