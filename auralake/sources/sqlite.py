@@ -2,7 +2,8 @@
 
 Options: ``path`` of a file that every executor can open, ``dbtable``, and
 ``rows`` per partition. Partitions are ranges of rowids, each read by its own
-read-only connection in bounded batches; filters on comparison run in SQLite.
+read-only connection in bounded batches. Filters run in Spark: a reader that takes
+them over keeps them for later scans of the same DataFrame.
 """
 
 from __future__ import annotations
@@ -14,10 +15,9 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 KINDS = {"INTEGER": T.LongType(), "INT": T.LongType(), "REAL": T.DoubleType(), "TEXT": T.StringType(), "BLOB": T.BinaryType()}
-SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
 def _name(text: str) -> str:
@@ -50,16 +50,7 @@ class SqliteSource(DataSource):
 
 class SqliteReader(DataSourceReader):
     def __init__(self, source: SqliteSource, schema: T.StructType):
-        self.source, self.schema, self.where = source, schema, []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, IsNotNull) and len(f.attribute) == 1:
-                self.where.append((f"{_name(f.attribute[0])} IS NOT NULL", []))
-            elif type(f) in SIGNS and len(f.attribute) == 1 and isinstance(f.value, (int, float, str)):
-                self.where.append((f"{_name(f.attribute[0])} {SIGNS[type(f)]} ?", [f.value]))
-            else:
-                yield f
+        self.source, self.schema = source, schema
 
     def partitions(self) -> list[InputPartition]:
         table, each = _name(self.source.options["dbtable"]), int(self.source.options.get("rows", 1_000_000))
@@ -71,14 +62,10 @@ class SqliteReader(DataSourceReader):
         return [Span(a, a + each) for a in range(low, high + 1, each)] if low is not None else []
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        where, values = list(self.where), []
-        if partition.low is not None:
-            where.append(("rowid >= ? AND rowid < ?", [partition.low, partition.high]))
-        for _, own in where:
-            values += own
         names = ", ".join(_name(f.name) for f in self.schema.fields)
-        condition = " AND ".join(text for text, _ in where)
-        sql = f"SELECT {names} FROM {_name(self.source.options['dbtable'])}" + (f" WHERE {condition}" if condition else "")
+        sql, values = f"SELECT {names} FROM {_name(self.source.options['dbtable'])}", []
+        if partition.low is not None:
+            sql, values = sql + " WHERE rowid >= ? AND rowid < ?", [partition.low, partition.high]
         kinds = [{T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.BinaryType(): pa.binary()}.get(f.dataType, pa.string()) for f in self.schema.fields]
         with self.source._open() as connection:
             cursor = connection.execute(sql, values)
@@ -87,6 +74,5 @@ class SqliteReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the source known to a session, and let its filters run in SQLite."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
+    """Make the source known to a session."""
     spark.dataSource.register(SqliteSource)
