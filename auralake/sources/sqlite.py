@@ -59,7 +59,7 @@ class SqliteReader(DataSourceReader):
                 low, high = connection.execute(f"SELECT min(rowid), max(rowid) FROM {table}").fetchone()
             except sqlite3.OperationalError:  # a table without rowids is read as one
                 return [Span(None, None)]
-        return [Span(a, a + each) for a in range(low, high + 1, each)] if low is not None else []
+        return [Span(a, a + each) for a in range(low, high + 1, each)] if low is not None else [Span(0, 0)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         names = ", ".join(_name(f.name) for f in self.schema.fields)
