@@ -20,3 +20,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the cores where the input has fewer splits than there are cores.
+
+    For kernels that cost more than the shuffle of their input; inputs of many splits stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auralake.functions import bits
 from auralake.operators.ordered import smooth_votes
+from auralake.operators.relational import blocks, top_per_group
 
 LEAST_OVERLAP, COMMON_VALUE, FARTHEST, REFINE = 100, 32, 400, 3
 
@@ -57,6 +63,52 @@ def half_postings(recordings: DataFrame, key: str, words: str) -> DataFrame:
     return recordings.select(F.explode(bits.halves(F.col(words))).alias("half"), key)
 
 
+def nearest(queries: DataFrame, recordings: DataFrame, key: str, words: str, limit: int = 20, least: int = 4) -> DataFrame:
+    """(query, key, hits, rank): the ``limit`` recordings that share most halves with each query, then those with ``least`` or more.
+
+    The queries come in collected blocks as one sorted table of halves, and
+    recordings are looked up in it where they lie. A batch keeps the rows of each
+    query that reach its own ``limit``-th number of hits, ties included, so the
+    ranking that follows loses nothing.
+    """
+    kind = recordings.schema[key].dataType
+    schema = T.StructType([T.StructField("query", kind), T.StructField(key, kind), T.StructField("hits", T.LongType())])
+    halved = lambda df: df.select(key, bits.halves(F.col(words)).alias("halves"))
+    spark = recordings.sparkSession
+    out = spark.createDataFrame([], schema)
+    for block in blocks(halved(queries), key, 1024):
+        sizes = block["halves"].map(len).to_numpy()
+        table = np.concatenate([np.asarray(h, np.int64) for h in block["halves"]])
+        order = np.argsort(table, kind="stable")
+        shared = spark.sparkContext.broadcast((block[key].tolist(), table[order], np.repeat(np.arange(len(block)), sizes)[order]))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, known, owner = shared.value
+            for batch in batches:
+                own, lists = batch.column(0), batch.column(1)
+                keys = own.to_pylist()
+                hits = np.zeros((batch.num_rows, len(names)), np.int64)
+                for row in range(batch.num_rows):
+                    mine = lists[row].values
+                    if mine is None or not len(mine):
+                        continue
+                    mine = mine.to_numpy(zero_copy_only=False)
+                    lo, hi = np.searchsorted(known, mine, "left"), np.searchsorted(known, mine, "right")
+                    times = hi - lo
+                    at = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                    hits[row] = np.bincount(owner[at], minlength=len(names))
+                same = {k: i for i, k in enumerate(names)}
+                for row, k in enumerate(keys):
+                    if k in same:
+                        hits[row, same[k]] = 0
+                edge = np.partition(hits, -limit, axis=0)[-limit] if batch.num_rows > limit else 0
+                rows, queries_ = np.nonzero((hits > 0) & (hits >= edge))
+                yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in queries_], own.type), own.take(pa.array(rows)), pa.array(hits[rows, queries_])], names=schema.fieldNames())
+
+        out = out.unionByName(halved(recordings).mapInArrow(run, schema))
+    return top_per_group(out, ["query"], [F.desc("hits"), F.asc(key)], limit).where(F.col("hits") >= least)
+
+
 def verdicts(aligned: DataFrame, unaligned: DataFrame, least: float = 0.72) -> DataFrame:
     """Pairs with their similarity before and after alignment: rescued, missed, or found by both."""
     both = aligned.select("a", "b", F.col("similarity").alias("after")).join(unaligned.select("a", "b", F.col("similarity").alias("before")), ["a", "b"])

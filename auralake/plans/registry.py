@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auralake.operators import vectors
+from auralake.operators.lineage import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,11 +43,16 @@ class Tables:
             F.expr("CASE WHEN doc_id % 3 = 0 THEN 'http://s.example/' || doc_id END").alias("stream_uri"),
         )
 
+    @property
+    def texts(self) -> DataFrame:
+        """Documents for kernels that cost more than a shuffle of the texts."""
+        return spread(self.documents.select("doc_id", "text"))
+
     @property
     def recordings(self) -> DataFrame:
         """One 32-bit word per token of a document."""
         words = F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")
-        return self.documents.select(F.col("doc_id").alias("id"), F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long")).alias("words"))
+        return self.texts.select(F.col("doc_id").alias("id"), F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long")).alias("words"))
 
     @property
     def features(self) -> DataFrame:

@@ -145,11 +145,8 @@ found AS (SELECT a, b, s, o FROM (SELECT *, row_number() OVER (PARTITION BY a, b
 
 @query(f"""WITH {ALIGNED} SELECT p.a, p.b, coalesce(s, 0) AS similarity, CAST(coalesce(o, 0) AS INTEGER) AS "offset" FROM pairs p LEFT JOIN found f ON f.a = p.a AND f.b = p.b""")
 def m10_m11_r6_alignment(t: Tables) -> DataFrame:
-    from auralake.operators import relational
-
     words = t.recordings
-    posted = recording.half_postings(words, "id", "words")
-    pairs = relational.candidates(posted.where("id % 50 = 0"), posted, "half", "id", limit=3, least=1).select(F.col("query").alias("a"), F.col("id").alias("b"))
+    pairs = recording.nearest(words.where("id % 50 = 0"), words, "id", "words", limit=3, least=1).select(F.col("query").alias("a"), F.col("id").alias("b"))
     return recording.align(pairs, words, "id", "words", least=20)
 
 
@@ -194,14 +191,14 @@ def _as_signal(text: str):
 @query("SELECT doc_id, CAST(greatest((least(strlen(text), 80000) - 1024) // 256 + 1 - 4, 0) AS INTEGER) AS n_words FROM documents WHERE strlen(text) >= 1024 AND doc_id % 2 = 0")
 def m1_m4_m8_recording_words(t: Tables) -> DataFrame:
     """The number of recording words of documents played as sound; their values are held against known digests in tests."""
-    some = t.documents.where("octet_length(text) >= 1024 AND doc_id % 2 = 0").select("doc_id", signal.analyse(_as_signal("text")).alias("a"))
+    some = t.texts.where("octet_length(text) >= 1024 AND doc_id % 2 = 0").select("doc_id", signal.analyse(_as_signal("text")).alias("a"))
     return some.select("doc_id", F.size("a.words").alias("n_words"))
 
 
 @query()
 def r13_r14_signal_analysis(t: Tables) -> DataFrame:
     """Landmarks and features of documents played as sound."""
-    some = t.documents.where("octet_length(text) >= 1024").select("doc_id", signal.analyse(_as_signal("text")).alias("a"))
+    some = t.texts.where("octet_length(text) >= 1024").select("doc_id", signal.analyse(_as_signal("text")).alias("a"))
     return some.select("doc_id", F.size("a.landmarks").alias("n_landmarks"), F.round("a.features.energy", 6).alias("energy"), F.round("a.features.brightness", 6).alias("brightness"))
 
 
@@ -210,4 +207,4 @@ def m24_m25_noisy_excerpts(t: Tables) -> DataFrame:
     """Excerpts mixed with seeded noise at 10 dB."""
     clean = signal.excerpt(_as_signal("text"), F.lit(0.0), F.lit(0.25))
     noisy = signal.with_noise(clean, signal.white_noise(F.lit(500), F.col("doc_id")), F.lit(10.0))
-    return t.documents.where("octet_length(text) >= 2000").select("doc_id", noisy.alias("x")).select("doc_id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double")), 3).alias("total"))
+    return t.texts.where("octet_length(text) >= 2000").select("doc_id", noisy.alias("x")).select("doc_id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double")), 3).alias("total"))

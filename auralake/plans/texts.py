@@ -13,7 +13,7 @@ TOKENS = r"tokens AS (SELECT doc_id AS id, unnest(regexp_extract_all(strip_accen
 
 
 def _postings(t: Tables) -> DataFrame:
-    return search.postings(t.documents.withColumnRenamed("doc_id", "id"), "id", ["text"])
+    return search.postings(t.texts.withColumnRenamed("doc_id", "id"), "id", ["text"])
 
 
 @query(f"""WITH {TRACKS}, {TOKENS}, m AS (SELECT id FROM tokens GROUP BY id HAVING bool_or(term = 'the') AND bool_or(term = 'andanea') OR bool_or(term = 'the') AND bool_or(starts_with(term, 'andan'))),

@@ -143,6 +143,17 @@ def test_alignment_finds_a_shift(spark):
     assert kinds[1, 2] == "rescued" and kinds[1, 3] == "missed"
 
 
+def test_nearest_is_the_inverted_index(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.randrange(1 << 20) << 4 & 0xFFFF0FFF for _ in range(rng.randint(0, 40))]) for i in range(90)] + [(200, None)]
+    df = spark.createDataFrame(rows, "id long, words array<long>").repartition(5)
+    posted = recording.half_postings(df, "id", "words")
+    want = relational.candidates(posted.where("id % 7 = 0"), posted, "half", "id", limit=5, least=2)
+    got = recording.nearest(df.where("id % 7 = 0"), df, "id", "words", limit=5, least=2)
+    rows_of = lambda x: sorted((r["query"], r["id"], r["hits"], r["rank"]) for r in x.collect())
+    assert rows_of(got) == rows_of(want) and got.count() > 20
+
+
 def test_lyrics_job(spark):
     tracks = spark.createDataFrame([("a", "Song", "X"), ("b", " song ", "x"), ("c", "Other", "X"), ("d", None, None)], "id string, title string, artist string")
     lyrics = spark.createDataFrame([("a", "words", None, "TAG", 1)], SCHEMAS["track_lyrics"])
