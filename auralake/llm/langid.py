@@ -1,9 +1,9 @@
 """Language identification by nearest centroids.
 
 A text is a unit vector of character n-gram counts (bytes of the lower-cased
-letters, 1 to 3 long, hashed to ``DIM`` cells; ASCII marks and digits, which no
-language owns, count as blanks), weighted by log frequency and
-inverse document frequency. Each language has several centroids, found by
+letters, 1 to 3 long, hashed to ``DIM`` cells; ASCII marks and tokens with a
+digit, which no language owns, count as blanks), weighted by log frequency and
+inverse document frequency. Each language has up to four centroids, found by
 spherical k-means among its examples; a text belongs to the language of the
 centroid with the largest cosine. It is rejected if the cosine is below the
 cut-off of that language.
@@ -11,11 +11,13 @@ cut-off of that language.
 Fitting takes at most ``SAMPLE_PER_LANGUAGE`` labelled texts of each language,
 those with the smallest hashes of their keys; a text enters the model as its
 count vector of ``DIM`` numbers, so what the driver gathers is bounded by
-languages x sample x DIM. The cut-off is a tenth of the smallest cosine that
-an example of the language has to its own centroid, so that only texts unlike
-any example go.
+languages x sample x DIM. The cut-off is half of the
+``QUANTILE`` of the cosines that examples of the language have to centroids of
+the other folds' examples; centroids of less than ``SUPPORT`` of the examples go.
+So neither a few odd examples nor texts like them widen a language. For texts of fewer
+than ``ENOUGH`` different n-grams it falls with the root of their number, as cosines do.
 
-Defined results: a null text or one without a letter is ``und`` with score 0,
+Defined results: a null text or one without a letter outside tokens with a digit is ``und`` with score 0,
 and rejected. Ties go to the first language by name. Without any labelled text
 all are ``und``. Rows with a null key or label aren't learned from; repeated
 rows count each. Columns with the name of an output are replaced.
@@ -38,15 +40,20 @@ SAMPLE_PER_LANGUAGE = 400
 MAX_LANGUAGES = 256
 CENTROIDS = 4
 ROUNDS = 8
-REJECT = 0.1
+REJECT = 0.5
+QUANTILE = 0.01
+SUPPORT = 0.02
+FOLDS = 4
+ENOUGH = 100
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
+_CODE = re.compile(rb"(?<![0-9A-Za-z\x80-\xff])[A-Za-z\x80-\xff]*+[0-9][0-9A-Za-z\x80-\xff]*+")
 _BLANKS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def counts(text: str) -> np.ndarray:
     """Hashed n-gram counts of a whole text, all between its words folded to one blank."""
-    words = text.lower().encode("utf-8", "replace").translate(_BLANKS).split()
+    words = _CODE.sub(b" ", text.lower().encode("utf-8", "replace")).translate(_BLANKS).split()
     data = np.frombuffer(b" ".join([b"", *words, b""]), np.uint8).astype(np.uint32)
     total = np.zeros(DIM)
     for at in range(0, len(data), 1 << 20):
@@ -78,14 +85,17 @@ class Centroids:
         """Language, cosine from 0 to 1, rejected."""
         if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, True
-        cosines = self.centres @ self.vector(counts(text))
+        found = counts(text)
+        if np.count_nonzero(found) <= 1:  # blanks only
+            return UNKNOWN, 0.0, True
+        cosines = self.centres @ self.vector(found)
         best = int(np.argmax(cosines))
         score = float(min(1.0, max(0.0, cosines[best])))
-        return self.languages[best], score, score < self.cutoffs[best]
+        return self.languages[best], score, bool(score < self.cutoffs[best] * min(1.0, np.count_nonzero(found) / ENOUGH) ** 0.5)
 
 
 def _cluster(rows: np.ndarray, k: int) -> np.ndarray:
-    """Unit centroids by spherical k-means; seeds are far from each other."""
+    """Unit centroids by spherical k-means; seeds are far from each other. Those of few rows go."""
     centres = rows[:1]
     for _ in range(min(k, len(rows)) - 1):
         centres = np.vstack([centres, rows[np.argmin((rows @ centres.T).max(axis=1))]])
@@ -93,7 +103,15 @@ def _cluster(rows: np.ndarray, k: int) -> np.ndarray:
         own = np.argmax(rows @ centres.T, axis=1)
         moved = [rows[own == j].sum(axis=0) if (own == j).any() else c for j, c in enumerate(centres)]
         centres = np.array([m / (np.linalg.norm(m) or 1) for m in moved])
-    return centres
+    own = np.bincount(np.argmax(rows @ centres.T, axis=1), minlength=len(centres))
+    return centres[own >= min(own.max(), SUPPORT * len(rows))]
+
+
+def _cutoff(rows: np.ndarray) -> float:
+    """A share of the low quantile of cosines to centroids that the rows had no part in."""
+    fold = np.arange(len(rows)) % FOLDS
+    parts = [(rows[fold == j], rows[fold != j]) for j in range(FOLDS)] if len(rows) >= 2 * FOLDS else [(rows, rows)]
+    return REJECT * float(np.quantile(np.concatenate([(own @ _cluster(rest, CENTROIDS).T).max(axis=1) for own, rest in parts]), QUANTILE))
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> Centroids:
@@ -129,10 +147,9 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
     for name in sorted(by):
         vectors = np.array([empty.vector(x) for x in by[name]])
         found = _cluster(vectors, CENTROIDS)
-        lowest = float((vectors @ found.T).max(axis=1).min())
         centres.append(found)
         languages += [name] * len(found)
-        cutoffs += [REJECT * lowest] * len(found)
+        cutoffs += [_cutoff(vectors)] * len(found)
     return Centroids(idf, np.vstack(centres), languages, cutoffs)
 
 
