@@ -183,6 +183,11 @@ def m20_brightness(t: Tables) -> DataFrame:
     return centroids.groupBy("id").agg(F.round(F.avg("c") / 5, 6).alias("brightness"))
 
 
+def _whole_signal(text: str):
+    """All bytes of a document as samples between -1 and 1."""
+    return audio.unsigned_samples(F.encode(text, "utf-8"))
+
+
 def _as_signal(text: str):
     """Ten seconds of a document's bytes, at most, as samples between -1 and 1."""
     return audio.unsigned_samples(F.substring(F.encode(text, "utf-8"), 1, 80000))
@@ -198,7 +203,7 @@ def m1_m4_m8_recording_words(t: Tables) -> DataFrame:
 @query()
 def r13_r14_signal_analysis(t: Tables) -> DataFrame:
     """Landmarks and features of documents played as sound."""
-    some = t.texts.where("octet_length(text) >= 1024").select("doc_id", signal.analyse(_as_signal("text")).alias("a"))
+    some = t.texts.where("octet_length(text) >= 1024").select("doc_id", signal.analyse(_whole_signal("text")).alias("a"))
     return some.select("doc_id", F.size("a.landmarks").alias("n_landmarks"), F.round("a.features.energy", 6).alias("energy"), F.round("a.features.brightness", 6).alias("brightness"))
 
 
