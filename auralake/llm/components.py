@@ -1,8 +1,9 @@
 """Connected components of an edge table, without gathering nodes anywhere.
 
 Alternates the large-star and small-star steps (Kiveris et al., 2014): each is
-a partially aggregated minimum per node and an equi-join, so a hub of any
-degree is split by the shuffle and only O(log n) rounds are needed.
+a partially aggregated minimum per node and an equi-join, and only O(log n)
+rounds are needed. The minima of hubs are broadcast to their edges, so a hub of
+any degree stays spread.
 """
 
 from __future__ import annotations
@@ -10,19 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auralake.llm.session import materialise
+from auralake.llm.session import join_unique, materialise
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over edges (u, v), u > v; gives edges of the same form."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One step over ``total`` edges (u, v), u > v; gives edges of the same form."""
     if large:
         links = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = links.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
-        moved = links.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        kept = moved
+        least = links.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).select("u", F.least("u", "low").alias("m"), "n")
+        kept = join_unique(links.where("v > u"), least, ["u"], "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        moved = join_unique(edges, least, ["u"], "n", total).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         kept = moved.unionByName(least.select("u", F.col("m").alias("v")))
     return kept.where("u > v").distinct()
 
@@ -39,7 +39,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     seen = state(now)
     while seen[0]:
-        now = materialise(_star(_star(now, True), False))
+        now = materialise(_star(materialise(_star(now, True, seen[0])), False, seen[0]))
         found = state(now)
         if found == seen:
             break

@@ -7,22 +7,41 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: A key is hot if it has more than one in so many rows, so no table has more hot keys than this.
+HOT_KEYS = 4096
+
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it from there.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; one of our own is set
-    only where neither that setting nor a checkpoint folder exists (tests).
+    The folder is the cluster's ``spark.checkpoint.dir``. Where neither that
+    setting nor a checkpoint folder exists, a local session gets a temporary one;
+    on a cluster, whose nodes don't share one, this raises.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auralake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="auralake-"))
     return df.checkpoint(eager=True)
 
 
+def join_unique(many: DataFrame, one: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """``many`` inner-joined to ``one``, which has each key once and in ``weight`` its rows among the ``total`` of ``many``.
+
+    Hot keys, ``HOT_KEYS`` at most, are broadcast to where their rows lie; the
+    others are shuffled. Null keys match nothing. ``weight`` is dropped.
+    """
+    hot = F.col(weight) * HOT_KEYS > total
+    few, rest = F.broadcast(one.where(hot).drop(weight)), one.where(~hot).drop(weight)
+    return many.join(few, on).unionByName(many.join(few.select(*on), on, "left_anti").join(rest, on))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -116,12 +116,44 @@ class TestSimhash:
                 assert by.setdefault(g, roots[p]) == roots[p]
         assert len(set(by.values())) == len(by)
 
-    def test_tree_prunes_but_loses_nothing(self):
-        rng = np.random.default_rng(3)
-        points = np.unique(np.concatenate([rng.integers(0, 1 << 63, 500, dtype=np.uint64), np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))]))
-        tree, alive = simhash.VantageTree(points, leaf=8), np.ones(len(points), bool)
-        for q in points[::17]:
-            assert set(tree.within(q, 4, alive).tolist()) == set(np.flatnonzero(np.bitwise_count(points ^ q) <= 4).tolist())
+    @pytest.mark.parametrize("seed", range(4))
+    def test_tree_prunes_but_loses_nothing(self, seed):
+        rng = np.random.default_rng(seed)
+        near = np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+        points = np.unique(np.concatenate([rng.integers(0, 1 << 63, 300, dtype=np.uint64), near, near ^ rng.integers(0, 1 << 20, 300, dtype=np.uint64)]))
+        tree = simhash.VantageTree(points, leaf=8)
+        label = tree.groups(4)
+        assert tree.branches > 10 and tree.pruned > 1000
+        at = {p: i for i, p in enumerate(tree.points.tolist())}
+        for x, g in zip(points.tolist(), brute.linked(points.tolist(), 4), strict=True):
+            assert label[at[x]] == label[at[points.tolist()[g]]]
+        assert len(np.unique(label)) == len(set(brute.linked(points.tolist(), 4)))
+
+    @pytest.mark.parametrize("radius", [0, 3, 4, 9])
+    def test_every_near_pair_meets_in_a_shard(self, radius):
+        rng = np.random.default_rng(radius)
+        points = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2))
+        twins = points.copy()
+        for bit in rng.integers(0, 64, (radius, len(points))):
+            twins ^= np.uint64(1) << bit.astype(np.uint64)
+        forest = simhash.routing_forest(points[::8], 1 / 8, radius, 200)
+        assert len(forest) == simhash.QUARTERS and all(t.shards > 4 for t in forest)
+        met = np.zeros(len(points), bool)
+        for tree in forest:
+            of = [{s: set(w.tolist()) for s, w in tree.route(x)} for x in (points, twins)]
+            for shard, who in of[0].items():
+                met[list(who & of[1].get(shard, set()))] = True
+        assert met.all()
+
+    def test_trees_branch_and_prune_on_documents(self, spark):
+        docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+        points = np.unique(np.array([r["fp"] for r in simhash.fingerprints(docs.select("text")).select("fp").collect()], np.int64).view(np.uint64))
+        forest = simhash.routing_forest(points[::64], 1 / 64, 4, simhash.SHARD_ROWS)
+        trees = [simhash.VantageTree(points[who]) for router in forest for _, who in router.route(points)]
+        for tree in trees:
+            tree.groups(4)
+        assert len(trees) > simhash.QUARTERS and sum(len(t.points) for t in trees) > len(points)
+        assert sum(t.branches for t in trees) > 100 and sum(t.pruned for t in trees) > 10_000
 
     def test_one_of_each_group_stays(self, spark):
         rows = [(4, "same text of some words here"), (2, "same text of some words here"), (2, "same text of some words here"), (9, "quite another one"), (None, "keyless text"), (None, "keyless text")]
@@ -129,6 +161,13 @@ class TestSimhash:
         assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(2, rows[0][1]), (9, rows[3][1]), (None, "keyless text")], key=str)
         assert simhash.keep_first(table(spark, rows).where("false")).count() == 0
 
+    def test_rows_of_one_key_are_told_apart(self, spark):
+        x, y, z = "one text of some words", "another text with other words", "the third has nothing in common"
+        kept = simhash.keep_first(table(spark, [(0, y), (1, x), (1, y)]))
+        assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(0, y), (1, x)]
+        kept = simhash.keep_first(table(spark, [(1, x), (1, z)]))
+        assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, x), (1, z)])
+
 
 URLS = [None, "", "no scheme", "http://", "https://EXAMPLE.com/en/x?q", "http://www.example.com/en/", "http://a.www.Example.com/en", "http://notexample.com/en/1", "ftp://b.net/es/#x", "x://net/fr/9", "http://com", "http://com/", "http://a..com/", "http://u@example.com:80/en/", "a://b://c.com/d", "http://é.net/fr/ü", "http://" + "a." * 300 + "com/" + "p/" * 2000]
 
