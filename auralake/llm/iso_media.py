@@ -7,10 +7,12 @@ ranges of the keyframes without touching the payload; ``read_payload`` gathers
 the samples again by those tables.
 
 Defined results: a null payload is stored as the empty one, which is padded to
-one frame of zeros. A null, empty or broken container gives null facts and a
-reason in ``error``; nothing raises. Rows are independent, so ties, repeated
-rows and empty tables need no rule. A column that has the name of an output is
-replaced by it.
+one frame of zeros. Payloads of 2 GiB and more get 64-bit boxes and offsets. A
+null, empty or broken container gives null facts and a reason in ``error``;
+nothing raises, and no table is expanded beyond the samples that the file can
+hold. Samples in fragments (``moof``) aren't read, which is such a reason. Rows
+are independent, so ties, repeated rows and empty tables need no rule. A column
+that has the name of an output is replaced by it.
 """
 
 from __future__ import annotations
@@ -145,20 +147,40 @@ def _numbers(data: bytes, span: tuple[int, int], skip: int, count: int, kind: st
     return np.frombuffer(data, kind, count, start + skip).astype(np.int64)
 
 
+def _sizes(data: bytes, track: dict) -> np.ndarray:
+    """Bytes of every sample, from ``stsz`` or the compact ``stz2``."""
+    if b"stsz" in track:
+        uniform, n = struct.unpack_from(">II", data, track[b"stsz"][0] + 4)
+        if not uniform:
+            return _numbers(data, track[b"stsz"], 12, n, ">u4")
+        if n > len(data) // uniform:
+            raise ValueError("sample table exceeds the file")
+        return np.full(n, uniform, np.int64)
+    width, n = struct.unpack_from(">3xBI", data, track[b"stz2"][0] + 4)
+    if width == 4:
+        pairs = _numbers(data, track[b"stz2"], 12, (n + 1) // 2, "u1")
+        return np.stack([pairs >> 4, pairs & 15], axis=1).ravel()[:n]
+    if width not in (8, 16):
+        raise ValueError(f"sample sizes of {width} bits")
+    return _numbers(data, track[b"stz2"], 12, n, ">u1" if width == 8 else ">u2")
+
+
 def sample_table(data: bytes, track: dict) -> tuple[np.ndarray, np.ndarray]:
     """Byte offset and size of every sample of a track."""
-    start, _ = track[b"stsz"]
-    uniform, n = struct.unpack_from(">II", data, start + 4)
-    if uniform and n > len(data) // uniform:
-        raise ValueError("sample table exceeds the file")
-    sizes = np.full(n, uniform, np.int64) if uniform else _numbers(data, track[b"stsz"], 12, n, ">u4")
+    sizes = _sizes(data, track)
+    n = len(sizes)
     kind = b"co64" if b"co64" in track else b"stco"
     chunks = struct.unpack_from(">I", data, track[kind][0] + 4)[0]
     at = _numbers(data, track[kind], 8, chunks, ">u8" if kind == b"co64" else ">u4")
+    if chunks and (int(at.min()) < 0 or int(at.max()) > len(data)):
+        raise ValueError("a chunk lies beyond the file")
     runs = struct.unpack_from(">I", data, track[b"stsc"][0] + 4)[0]
     table = _numbers(data, track[b"stsc"], 8, 3 * runs, ">u4").reshape(-1, 3)
-    last = np.append(table[1:, 0], chunks + 1)
-    per_chunk = np.repeat(table[:, 1], np.maximum(last - table[:, 0], 0))[:chunks]
+    # A run lasts to the first chunk of the next; the file's own chunks bound them all.
+    first = np.minimum(table[:, 0], chunks + 1)
+    if runs and (first[0] != 1 or (np.diff(first) < 0).any()):
+        raise ValueError("chunk runs are out of order")
+    per_chunk = np.repeat(table[:, 1], np.diff(np.append(first, chunks + 1)))
     if int(per_chunk.sum()) != n:
         raise ValueError("chunk table and sample sizes disagree")
     ends = np.cumsum(sizes)
@@ -176,9 +198,9 @@ def probe(data: bytes | None) -> dict:
     if not data:
         return out | {"error": "no data"}
     try:
-        track = next((t for t in tracks(data) if b"stsz" in t), None)
+        track = next((t for t in tracks(data) if b"stsz" in t or b"stz2" in t), None)
         if track is None:
-            return out | {"error": "no track"}
+            return out | {"error": "samples in fragments" if any(kind == b"moof" for kind, *_ in boxes(data, 0, len(data))) else "no track"}
         start, _ = track[b"mdhd"]
         scale, length = struct.unpack_from(">IQ", data, start + 20) if data[start] else struct.unpack_from(">II", data, start + 12)
         entry = track[b"stsd"][0] + 8
@@ -207,7 +229,7 @@ def demux(data: bytes | None) -> bytes | None:
     if not data:
         return None
     try:
-        track = next((t for t in tracks(data) if b"stsz" in t), None)
+        track = next((t for t in tracks(data) if b"stsz" in t or b"stz2" in t), None)
         if track is None:
             return None
         offsets, sizes = sample_table(data, track)

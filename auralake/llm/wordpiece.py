@@ -19,6 +19,7 @@ repeat their counts. Columns with the name of an output are replaced.
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 
@@ -135,14 +136,20 @@ class Counter:
             return len(words), sum(map(self.of_word, words))
 
 
+@functools.cache
+def counter(path: str) -> Counter:
+    """One per Python worker, which keeps the automaton and what it has counted from task to task."""
+    return Counter(load_pieces(path))
+
+
 def count_tokens(df: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Add n_words and n_tokens. ``vocabulary``: path of a tokenizer file on every executor."""
 
     def start():
-        counter = Counter(load_pieces(vocabulary or public_tokenizers.path("word_bpe_49k.json")))
+        own = counter(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
 
         def of(batch: pa.RecordBatch) -> list[pa.Array]:
-            found = [counter.of_text(x.as_py()) for x in batch.column(batch.schema.get_field_index(text))]
+            found = [own.of_text(x.as_py()) for x in batch.column(batch.schema.get_field_index(text))]
             return [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())]
 
         return of
