@@ -5,7 +5,8 @@ sequence has a capacity in each. The open sequence takes, among the buffered
 examples that fit in every dimension, the one whose demand has the largest
 weighted dot product with what is left (Panigrahy et al., 2011); weights are the
 inverse capacities. If none fits and cutting is allowed, the longest is cut to
-fill the rest.
+fill the rest. Where another limit than that of tokens ends such a sequence, it
+is filled anew to the largest power of two below, which needs no padding.
 
 Every task packs its own rows, a bounded buffer at a time, so there is no
 shuffle and a hot source is as good as any other. What remains when a task ends
@@ -13,8 +14,9 @@ is less than one sequence; it is dealt to sequences that hold powers of two,
 which need no padding. Sequence ids are the partition's number, shifted by 40
 bits, plus a count, so a task that is run again gives the same ids.
 
-Defined results: a null or blank text is a document of the end id alone. Rows
-that repeat, or have no key, are packed each on its own. An item of
+Defined results: a null or blank text is a document of the end id alone; a text of
+more tokens than a sequence holds, however long, is cut. Rows
+that repeat, or have no key, are packed each on its own. An empty table has no pieces. An item of
 ``pack_items`` that is over a capacity by itself gets a sequence of its own and
 ``oversize`` true; null demands count as zero. Columns other than those named
 are ignored.
@@ -156,10 +158,22 @@ class Packer:
         return piece
 
     def sequence(self, tokens: int | None = None) -> list[tuple[int, int, int]]:
-        """Fill and return one sequence, of at most so many tokens."""
+        """Fill and return one sequence, of at most so many tokens.
+
+        With cutting it holds all of its tokens or a power of two, if every piece may bear loss for all of its own.
+        """
+        whole = int(min(self.capacity[0], tokens or self.capacity[0]))
+        before = (self.need.copy(), self.alive.copy(), self.start.copy(), self.tokens)
+        out = self._fill(whole)
+        while self.cut and (size := sum(n for *_, n in out)) < whole and size & (size - 1):
+            self.need, self.alive, self.start, self.tokens = (x.copy() if isinstance(x, np.ndarray) else x for x in before)
+            whole = 1 << (size.bit_length() - 1)
+            out = self._fill(whole)
+        return out
+
+    def _fill(self, tokens: int) -> list[tuple[int, int, int]]:
         left, out = self.capacity.copy(), []
-        if tokens is not None:
-            left[0] = left[2] = tokens
+        left[0], left[2] = tokens, min(tokens, left[2])
         while left[0] > 0 and self.alive.any():
             fits = self.alive & (self.need <= left).all(axis=1)
             if fits.any():
