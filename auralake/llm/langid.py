@@ -8,36 +8,42 @@ spherical k-means among its examples; a text belongs to the language of the
 centroid with the largest cosine. It is rejected if the cosine is below the
 cut-off of that language.
 
-Fitting takes at most ``SAMPLE_PER_LANGUAGE`` labelled texts of each language,
-those with the smallest hashes of their keys; a text enters the model as its
-count vector of ``DIM`` numbers, so what the driver gathers is bounded by
-languages x sample x DIM. The cut-off is half of the
-``QUANTILE`` of the cosines that examples of the language have to centroids of
-the other folds' examples; centroids of less than ``SUPPORT`` of the examples go.
-So neither a few odd examples nor texts like them widen a language. For texts of fewer
-than ``ENOUGH`` different n-grams it falls with the root of their number, as cosines do.
-
-Defined results: a null text or one without a letter outside tokens with a digit is ``und`` with score 0,
-and rejected. Ties go to the first language by name. Without any labelled text
-all are ``und``. Rows with a null key or label aren't learned from; repeated
-rows count each. Columns with the name of an output are replaced.
+Fitting takes at most ``SAMPLE_PER_LANGUAGE`` different labelled texts of each
+language, those with the smallest hashes of key and text; this bound is the only
+one, every label is learned. A text enters the model as its count vector of
+``DIM`` numbers. Executors add up document frequencies and cluster, one language
+a task; the driver gets one number a cell and at most four centroids of 32 kB a
+language. The cut-off is half of the ``QUANTILE`` of the cosines that examples of
+the language have to centroids of the other folds' examples; centroids of less
+than ``SUPPORT`` of the examples go. So neither a few odd examples nor texts like
+them widen a language. For texts of fewer than ``ENOUGH`` different n-grams it
+falls with the root of their number, as cosines do.
+
+Defined results: a null text or one without a letter (``\\p{L}``) is ``und`` with
+score 0, and rejected. If all letters are in tokens with a digit, these count.
+Ties go to the first language by name. Without any labelled text all are
+``und``. Texts may have any length and are counted whole. Rows with a null key or
+label aren't learned from; rows of equal key, text and label are learned once.
+Columns with the name of an output are replaced. Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from auralake.llm.session import append_columns
+from auralake.llm.session import append_columns, materialise
 
 DIM = 8192
 SAMPLE_PER_LANGUAGE = 400
-MAX_LANGUAGES = 256
 CENTROIDS = 4
 ROUNDS = 8
 REJECT = 0.5
@@ -46,14 +52,15 @@ SUPPORT = 0.02
 FOLDS = 4
 ENOUGH = 100
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _CODE = re.compile(rb"(?<![0-9A-Za-z\x80-\xff])[A-Za-z\x80-\xff]*+[0-9][0-9A-Za-z\x80-\xff]*+")
 _BLANKS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def counts(text: str) -> np.ndarray:
     """Hashed n-gram counts of a whole text, all between its words folded to one blank."""
-    words = _CODE.sub(b" ", text.lower().encode("utf-8", "replace")).translate(_BLANKS).split()
+    whole = text.lower().encode("utf-8", "replace")
+    words = _CODE.sub(b" ", whole).translate(_BLANKS).split() or whole.translate(_BLANKS).split()
     data = np.frombuffer(b" ".join([b"", *words, b""]), np.uint8).astype(np.uint32)
     total = np.zeros(DIM)
     for at in range(0, len(data), 1 << 20):
@@ -86,8 +93,6 @@ class Centroids:
         if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, True
         found = counts(text)
-        if np.count_nonzero(found) <= 1:  # blanks only
-            return UNKNOWN, 0.0, True
         cosines = self.centres @ self.vector(found)
         best = int(np.argmax(cosines))
         score = float(min(1.0, max(0.0, cosines[best])))
@@ -114,47 +119,63 @@ def _cutoff(rows: np.ndarray) -> float:
     return REJECT * float(np.quantile(np.concatenate([(own @ _cluster(rest, CENTROIDS).T).max(axis=1) for own, rest in parts]), QUANTILE))
 
 
+def _examples(df: DataFrame, key: str, text: str, label: str, sample: int) -> DataFrame:
+    """(label, counts) of at most ``sample`` different rows of each label; written."""
+    order = F.xxhash64(F.col(key), F.col(text))
+    labelled = df.where(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(label).alias("label"), order.alias("at"), F.col(text).alias("body"))
+    # Rows with low hashes, about half as many again as the sample: one narrow scan instead of a sort of all.
+    share = F.least(F.lit(1.0), F.lit(1.5 * sample) / F.col("n"))
+    low = labelled.groupBy("label").agg(F.approx_count_distinct("at").alias("n")).select("label", (share * 2.0**64 - 2.0**63).alias("low"))
+    near = labelled.join(F.broadcast(low), "label").where("cast(at as double) <= low").drop("low")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, set[int]] = {}  # rows that repeat leave here, so a hot one isn't shuffled
+        for batch in batches:
+            for name, at, body in zip(*(batch.column(i) for i in range(3)), strict=True):
+                own = seen.setdefault(name.as_py(), set())
+                if at.as_py() not in own:
+                    own.add(at.as_py())
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([at.as_py()]), pa.array([counts(body.as_py()).astype("<f4").tobytes()], pa.binary())], names=["label", "at", "counts"])
+
+    drawn = near.mapInArrow(run, "label string, at long, counts binary").groupBy("label", "at").agg(F.min("counts").alias("counts"))
+    ranked = drawn.withColumn("nth", F.row_number().over(W.partitionBy("label").orderBy("at")))
+    return materialise(ranked.where(F.col("nth") <= sample).select("label", "at", "counts"))
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    """The count vectors of a label in the order of their hashes."""
+    table = table.sort_by("at")
+    return np.stack([np.frombuffer(x.as_py(), "<f4") for x in table.column("counts")])
+
+
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> Centroids:
-    """Learn from at most ``sample`` rows of each of at most ``MAX_LANGUAGES`` labels with letters in the text."""
-    labelled = df.where(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    order = F.xxhash64(F.col(key))
-    drawn = labelled.select(label, order.alias("at"))
-    # The bounded minimum of a sample per label: k-th smallest hash of each label, then one narrow scan.
-    sizes = {r[label]: r["n"] for r in drawn.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(MAX_LANGUAGES).collect()}
-    if not sizes:
-        return Centroids(np.ones(DIM), np.zeros((0, DIM)), [], [])
-    span = 2.0**63
-    share = {name: min(1.0, 1.25 * sample / n) for name, n in sizes.items()}
-    wanted = F.coalesce(F.create_map(*[F.lit(x) for name, s in share.items() for x in (name, float(2 * s * span - span))])[F.col(label)], F.lit(-2 * span))
-    near = labelled.where(order.cast("double") <= wanted).select(label, order.alias("at"), text)
+    """Learn from at most ``sample`` rows of each label with letters in the text."""
+    examples = _examples(df, key, text, label, sample)
 
-    def start():
-        def of(batch: pa.RecordBatch) -> list[pa.Array]:
-            found = [counts(x.as_py()).astype("<f4").tobytes() for x in batch.column(batch.schema.get_field_index(text))]
-            return [pa.array(found, pa.binary())]
+    def frequencies(table: pa.Table) -> pa.Table:
+        have = (_matrix(table) > 0).sum(axis=0)
+        return pa.table({"cell": pa.array(range(DIM), pa.int64()), "n": pa.array(have, pa.int64()), "rows": pa.array(np.full(DIM, len(table)), pa.int64())})
 
-        return of
+    held = examples.groupBy("label").applyInArrow(frequencies, "cell long, n long, rows long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).collect()
+    if not held:
+        return Centroids(np.ones(DIM), np.zeros((0, DIM)), [], [])
+    frequency = np.zeros(DIM)
+    frequency[[r["cell"] for r in held]] = [r["n"] for r in held]
+    idf = np.log((1 + held[0]["rows"]) / (1 + frequency)) + 0.05
+    weigh = Centroids(idf, np.zeros((0, DIM)), [], []).vector
 
-    rows = append_columns(near, [T.StructField("counts", T.BinaryType())], start).select(label, "at", "counts").collect()
-    by: dict[str, list[np.ndarray]] = {}
-    for r in sorted(rows, key=lambda r: (r[label], r["at"], r["counts"])):
-        if len(own := by.setdefault(r[label], [])) < sample:
-            own.append(np.frombuffer(r["counts"], "<f4"))
-    everything = np.vstack([np.vstack(by[name]) for name in sorted(by)])
-    idf = np.log((1 + len(everything)) / (1 + (everything > 0).sum(axis=0))) + 0.05
-    empty = Centroids(idf, np.zeros((0, DIM)), [], [])
-    centres, languages, cutoffs = [], [], []
-    for name in sorted(by):
-        vectors = np.array([empty.vector(x) for x in by[name]])
+    def cluster(table: pa.Table) -> pa.Table:
+        vectors = np.array([weigh(x) for x in _matrix(table)])
         found = _cluster(vectors, CENTROIDS)
-        centres.append(found)
-        languages += [name] * len(found)
-        cutoffs += [_cutoff(vectors)] * len(found)
-    return Centroids(idf, np.vstack(centres), languages, cutoffs)
+        columns = [[table.column("label")[0].as_py()] * len(found), range(len(found)), [c.astype("<f4").tobytes() for c in found], [_cutoff(vectors)] * len(found)]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.float64()), strict=True)], names=["label", "nth", "centre", "cutoff"])
+
+    rows = sorted(examples.groupBy("label").applyInArrow(cluster, "label string, nth long, centre binary, cutoff double").collect(), key=lambda r: (r["label"], r["nth"]))
+    return Centroids(idf, np.stack([np.frombuffer(r["centre"], "<f4") for r in rows]), [r["label"] for r in rows], [r["cutoff"] for r in rows])
 
 
 def identify(df: DataFrame, model: Centroids, text: str = "text") -> DataFrame:
-    """Add lang_pred, score and rejected. The model is bounded: at most 256 x 4 centroids of 32 kB."""
+    """Add lang_pred, score and rejected. The model is broadcast: at most four centroids of 32 kB a label."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
 
