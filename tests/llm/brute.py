@@ -130,3 +130,15 @@ def verdict(url: str | None, rules: list[tuple[str, str, str]]) -> tuple:
     host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
     fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return (host, path, *max(fits)[1:]) if fits else (host, path, None, "allow")
+
+
+def dot_product_bin(open_: dict[int, tuple], capacity: tuple) -> list[int]:
+    """Fills one bin from ``open_``, by the largest dot product of demand and what is left, weighted by inverse capacities."""
+    left, out = list(capacity), []
+    while True:
+        fits = [i for i, need in open_.items() if all(n <= x for n, x in zip(need, left))]
+        if not fits or left[0] <= 0:
+            return out
+        best = max(fits, key=lambda i: (sum(n * x / c**2 for n, x, c in zip(open_[i], left, capacity)), -i))
+        left = [x - n for n, x in zip(open_.pop(best), left)]
+        out.append(best)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -80,6 +82,54 @@ class TestMedia:
         df = spark.createDataFrame([(1, None), (2, bytearray(whole[:200]))], "id long, media binary")
         assert [r["error"] is not None for r in iso_media.probe_media(df).collect()] == [True, True]
 
+    def test_hostile_tables_give_reasons(self, spark):
+        whole = iso_media.mux(bytes(range(64)) * 40)
+        at = whole.index(b"stsc") + 4
+
+        def patched(offset, value):
+            return whole[: at + offset] + struct.pack(">I", value) + whole[at + offset + 4 :]
+
+        # The second run's first chunk, the runs themselves, and the samples of a chunk.
+        hostile = [patched(20, 0xFFFFFFFF), patched(4, 0xFFFFFFFF), patched(12, 0xFFFFFFFF), patched(8, 0xFFFFFFFF), patched(8, 0), patched(20, 1)]
+        size, chunks = whole.index(b"stsz") + 8, whole.index(b"stco") + 4
+        hostile += [whole[:size] + struct.pack(">II", n, 0xFFFFFFFF) + whole[size + 8 :] for n in (0, 1, 64)]
+        hostile += [whole[: chunks + 4] + struct.pack(">I", 0xFFFFFFF0) + whole[chunks + 8 :]]
+        wide = whole[: chunks - 4] + b"co64" + whole[chunks : chunks + 4] + struct.pack(">Q", 1 << 63) + whole[chunks + 12 :]
+        for data in [*hostile, wide]:
+            assert iso_media.probe(data)["error"] and iso_media.demux(data) is None
+        rng = random.Random(6)
+        for _ in range(3000):
+            data = bytearray(whole[:700])
+            for _ in range(rng.randint(1, 4)):
+                data[rng.randrange(28, 650)] = rng.choice([0, 1, 127, 128, 255])
+            found = iso_media.probe(bytes(data) + whole[700:])
+            assert (found["error"] is None) == (found["n_samples"] is not None)
+        fragments = iso_media._FTYP + iso_media._box(b"moov") + iso_media._box(b"moof") + iso_media._box(b"mdat", bytes(64))
+        assert iso_media.probe(fragments)["error"] == "samples in fragments"
+
+    @pytest.mark.parametrize("width", [4, 8, 16])
+    def test_compact_sizes(self, width):
+        """A track whose samples have sizes of 4, 8 or 16 bits each."""
+        sizes = [3, 15, 0, 7, 9]
+        body = {4: bytes([0x3F, 0x07, 0x90]), 8: bytes(sizes), 16: struct.pack(">5H", *sizes)}[width]
+        table = iso_media._full(b"stz2", struct.pack(">3xBI", width, 5), body)
+        chunks = iso_media._full(b"stsc", struct.pack(">IIII", 1, 1, 5, 1)) + iso_media._full(b"stco", struct.pack(">II", 1, 8))
+        data = iso_media._box(b"mdat", bytes(range(34))) + table + chunks
+        track = {kind: (a, b) for kind, a, b in iso_media.boxes(data, 42, len(data))}
+        offsets, found = iso_media.sample_table(data, track)
+        assert found.tolist() == sizes and offsets.tolist() == [8, 11, 26, 26, 33]
+
+    def test_digests_of_the_query(self, spark, tmp_path, corpus):
+        spark.createDataFrame(corpus, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+        texts = dict(corpus)
+        for r in iso_media.op1_iso_media(spark, str(tmp_path)).collect():
+            text = (texts[r["doc_id"]] or "").encode()
+            payload = iso_media.pad(text)
+            media = iso_media.mux(payload)
+            assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(text), len(payload), len(media))
+            assert (r["payload_sha256"], r["media_sha256"]) == tuple(hashlib.sha256(x).hexdigest() for x in (payload, media))
+            assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and r["feature"].startswith(f"raw/{len(payload) // 64}:25/{len(payload) // 64}/")
+
     def test_foreign_layout(self):
         """Sizes per sample, scattered chunks, 64-bit offsets and boxes nested in unknown order."""
         whole = bytearray(iso_media.mux(bytes(range(256)) * 8))
@@ -203,9 +253,10 @@ class TestWordPieces:
             found = wordpiece.WORDS.findall(__import__("unicodedata").normalize("NFC", text or "").lower())
             return len(found), sum(brute.pieces("".join(letters[b] for b in w.encode()) + wordpiece.END, vocabulary) for w in found)
 
-        short = [(k, t) for k, t in corpus if not t or len(t) < 5000]
-        got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in wordpiece.count_tokens(table(spark, corpus)).collect()}
-        assert len(got) == len(corpus) and all(got[k] == want(t) for k, t in short)
+        long = [(2000, "x" * 1500 + " " + "word, " * 20_000), (2001, corpus[0][1]), (2001, corpus[0][1])]
+        got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in wordpiece.count_tokens(table(spark, corpus + long)).collect()}
+        assert len(got) == len(corpus) + 2 and all(got[k] == want(t) for k, t in corpus + long)
+        assert wordpiece.count_tokens(table(spark, corpus).where("false")).count() == 0
 
 
 class TestTiling:
@@ -223,6 +274,30 @@ class TestTiling:
         longest = max((n for i in range(len(item)) for j in range(len(text)) for n in range(1, 1 + min(len(item) - i, len(text) - j)) if item[i : i + n] == text[j : j + n]), default=0)
         assert first == (longest if longest >= 3 else 0)
 
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.integers(0, 2), max_size=30), st.lists(st.integers(0, 2), max_size=40))
+    def test_both_ways_mark_the_same(self, item, text):
+        item, text = np.array(item, np.int64), np.array(text, np.int64)
+        heap = tiling.tile(item, text, 3)
+        most, tiling.MOST_STARTS = tiling.MOST_STARTS, 0
+        try:
+            assert tiling.tile(item, text, 3) == heap
+        finally:
+            tiling.MOST_STARTS = most
+        assert sum(n for *_, n in heap) == brute.tiles(item.tolist(), text.tolist(), 3)
+
+    def test_repetitive_texts_and_shared_seeds_stay_small(self):
+        """An item of 3,000 equal words against 60,000; a text that repeats a seed of 20,000 items."""
+        tracemalloc.start()
+        found = list(tiling.Block([(1, "same " * 3000)], 4, 0.6).of_text("same " * 60_000))
+        assert [(k, c) for k, c, _ in found] == [(1, 1.0)]
+        items = [(i, f"one shared seed here own{i} words{i} follow{i} it{i}") for i in range(20_000)]
+        block = tiling.Block(items, 4, 0.6)
+        assert not list(block.of_text("one shared seed here " * 20_000))
+        assert [k for k, *_ in block.of_text("one shared seed here " * 20_000 + items[7][1])] == [7]
+        assert tracemalloc.get_traced_memory()[1] < 1 << 30
+        tracemalloc.stop()
+
     def test_coverage_equals_brute_force_on_distinct_words(self):
         rng = random.Random(2)
         for _ in range(60):
@@ -267,6 +342,61 @@ class TestPacking:
         digest = packing.digests(packing.pack_documents(table(spark, corpus))).collect()
         assert all(r["ids_crc32"] == zlib.crc32(np.array(want[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in digest)
 
+    @pytest.mark.parametrize("tokens", [1, 3, 5, 7, 9, 300])
+    @pytest.mark.parametrize("loss", [4096, 700])
+    def test_no_padding_where_another_limit_binds(self, tokens, loss):
+        packer, sequences = packing.Packer((4096, 512, loss), cut=True), []
+        for i in range(3000):
+            while packer.full():
+                sequences.append(packer.sequence())
+            packer.add(i, 0, (tokens, 1, tokens))
+        sequences += packer.drain()
+        sizes = [sum(n for *_, n in x) for x in sequences]
+        assert sum(sizes) == 3000 * tokens and all(n == 4096 or n & (n - 1) == 0 for n in sizes)
+        assert all(len(x) <= 512 for x in sequences) and max(sizes) <= loss
+
+    def test_takes_what_the_plain_heuristic_takes(self):
+        rng = random.Random(7)
+        packer, open_ = packing.Packer((100, 6, 50), cut=False, room=40), {}
+        for i in range(40):
+            open_[i] = (rng.randint(1, 60), rng.randint(1, 3), rng.randint(0, 40))
+            packer.add(i, 0, open_[i])
+        for sequence in packer.drain():
+            assert [i for i, *_ in sequence] == brute.dot_product_bin(open_, (100, 6, 50))
+        assert not open_
+
+    def test_ids_are_those_of_the_tokenizer(self, spark):
+        """A random sample of whole documents and of odd strings."""
+        from tokenizers import Tokenizer
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+        coder, ids = Tokenizer.from_file(path), packing.token_ids(path)
+        docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+        texts = [r["text"] for r in docs.sample(0.2, seed=3).select("text").collect()]
+        rng = random.Random(11)
+        alphabet = "abcXYZ'’.,;:!?-_/0189 \t\n\u00e9\u0301\u00df\u0130\u03c3\u03c2\u4e2d\U0001f600\u200b\u00a0"
+        texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+        want = [coder.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.of(texts)] == want
+
+    def test_conversations_under_three_limits(self, spark):
+        """Turns of an assistant bear loss; each limit is met by some sequence."""
+        turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+        size = F.size(F.split("text", " ")).cast("int")
+        df = turns.groupBy("conv_id").agg(F.sum(size).alias("t"), F.count("*").alias("s"), F.sum(F.when(F.col("role") == "assistant", size).otherwise(0)).alias("l"))
+        rows = {r["conv_id"]: r for r in df.collect()}
+        # In proportion to the corpus, so that each limit binds somewhere.
+        capacity = tuple(-(-10 * sum(r[c] for r in rows.values()) // len(rows)) for c in "tsl")
+        got = packing.pack_items(df.coalesce(1), "conv_id", "t", "s", "l", capacity).collect()
+        assert sorted(r["conv_id"] for r in got) == sorted(rows)
+        total = {}
+        for r in got:
+            if not r["oversize"]:
+                own = rows[r["conv_id"]]
+                total[r["sequence_id"]] = [a + b for a, b in zip(total.get(r["sequence_id"], (0, 0, 0)), (own["t"], own["s"], own["l"]), strict=True)]
+        assert all(x <= c for found in total.values() for x, c in zip(found, capacity, strict=True))
+        assert all(any(found[d] > 0.97 * capacity[d] for found in total.values()) for d in range(3))
+
     def test_rows_that_repeat_and_none(self, spark):
         rows = [(None, "a b"), (None, "a b"), (3, None), (3, None)]
         assert packing.pack_documents(table(spark, rows)).groupBy("doc_id").agg(F.sum("length").alias("n")).orderBy("doc_id").collect() == [(None, 6), (3, 2)]
@@ -297,12 +427,12 @@ def test_line_runs(spark, corpus, least):
 
 
 class TestCrossEntropy:
-    @pytest.mark.parametrize("block_bytes,buckets", [(1, 3), (20_000, 1), (8 << 20, 7)])
-    def test_scores_are_those_of_plain_counting(self, spark, corpus, block_bytes, buckets):
+    @pytest.mark.parametrize("block_bytes,bucket_bytes", [(1, 30_000), (20_000, 1 << 30), (8 << 20, 10_000), (3_000, 20)])
+    def test_scores_are_those_of_plain_counting(self, spark, corpus, block_bytes, bucket_bytes):
         rows = [*corpus, corpus[0], (None, "a b a b keyless")]
         target = {k for k, _ in rows if k is not None and k % 2 == 0}
         labels = spark.createDataFrame([(k, 1) for k in target] + [(None, 1), (min(target), 1), (10**6, 1)], "doc_id long, quality int")
-        got = cross_entropy.score_documents(table(spark, rows), labels, F.col("quality") == 1, block_bytes=block_bytes, buckets=buckets).collect()
+        got = cross_entropy.score_documents(table(spark, rows), labels, F.col("quality") == 1, block_bytes=block_bytes, bucket_bytes=bucket_bytes).collect()
         want = brute.cross_entropies(rows, target, cross_entropy.MU)
         assert sorted(map(str, (r["doc_id"] for r in got))) == sorted(map(str, (k for k, _ in rows)))
         by = {}
@@ -341,7 +471,7 @@ class TestSuperkmers:
         hot = " ".join(f"h{i}" for i in range(70))
         rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) + " " + hot + f" t{i}") for i in range(120)]
         df = table(spark, rows)
-        assert superkmers.hot_minimisers(df.select("doc_id", "text"), "text", 50, 8, 16)
+        assert superkmers.hot_minimisers(df.select("doc_id", "text"), "text", 50, 8, 16, 120)
         got = superkmers.dedup(df, buckets=16).collect()
         assert Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got) == Counter(brute.without_windows(rows, 50))
 
@@ -364,6 +494,36 @@ class TestLanguage:
         assert {r["doc_id"] for r in got if r["rejected"]} == {900, 901, 902, 903}
         assert langid.recognised(df).columns == df.columns
 
+    def test_letters_decide_what_is_undetermined(self):
+        model = langid.Centroids(np.ones(langid.DIM), np.eye(2, langid.DIM), ["aa", "bb"], [0.1, 0.1])
+        assert [model.judge(t)[0] for t in ("²", "½", "Ⅷ", "7", None, "", " \n")] == ["und"] * 7
+        assert all(model.judge(t)[0] in ("aa", "bb") for t in ("a", "x1y2", "ª", "é", "字", "a" * 2_000_000))
+
+    @pytest.mark.parametrize("one", range(3))
+    def test_one_key_on_all_rows(self, spark, one):
+        tongues = {"aa": "the and with from that this house water", "bb": "der und mit von dass dieses haus wasser"}
+        rows = [(one, f"{tongues[name]} {'z' * (i % 50 + 1)}", name) for i, name in enumerate(list(tongues) * 400)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = langid.fit(df)
+        assert set(model.languages) == {"aa", "bb"}
+        assert langid.identify(df, model).where("lang_pred <> lang").count() == 0
+        same = langid.fit(df.withColumn("text", F.lit("the same text")))
+        assert set(same.languages) == {"aa", "bb"} and langid._examples(df.withColumn("text", F.lit("the same text")), "doc_id", "text", "lang", 400).count() == 2
+
+    def test_three_hundred_languages(self, spark):
+        rng = random.Random(1)
+        words = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5)] for i in range(300)}
+        rows = [(i, " ".join(rng.choices(words[name], k=12)), name) for i, name in enumerate(list(words) * 3)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+        model = langid.fit(df)
+        assert len(set(model.languages)) == 300
+        assert langid.identify(df, model).where("lang_pred <> lang").count() == 0
+
+    def test_the_sample_is_bounded(self, spark):
+        rows = [(i, f"text number {i} of many with words", "aa" if i % 3 else "bb") for i in range(3000)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert {r["label"]: r["count"] for r in langid._examples(df, "doc_id", "text", "lang", 100).groupBy("label").count().collect()} == {"aa": 100, "bb": 100}
+
     def test_nothing_to_learn_from(self, spark):
         df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
         assert langid.identify(df, langid.fit(df)).first()["lang_pred"] == "und"
