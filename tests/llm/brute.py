@@ -73,6 +73,30 @@ def without_runs(docs: list[tuple[int, str | None]], least: int) -> dict[int, st
     return out
 
 
+def maximal_runs(docs: list[tuple[int | None, str | None]], least: int) -> dict[int | None, list[tuple[int, int]]]:
+    """By key the stretches (start, lines) that occur elsewhere too and lie in no longer such stretch."""
+    solid = {key: [x for x in (text or "").split("\n") if x.strip(" \t\r\x0b\f")] for key, text in docs}
+    times, size = Counter(), 1
+    longest = {(key, p): 0 for key, own in solid.items() for p in range(len(own))}
+    alive = list(longest)
+    while alive:
+        runs = {(key, p): tuple(solid[key][p : p + size]) for key, p in alive if p + size <= len(solid[key])}
+        times = Counter(runs.values())
+        alive = [at for at, run in runs.items() if times[run] > 1]
+        for at in alive:
+            longest[at] = size
+        size += 1
+    out = {}
+    for key, own in solid.items():
+        end, out[key] = 0, []
+        for p in range(len(own)):
+            if longest[key, p] and p + longest[key, p] > end:
+                end = p + longest[key, p]
+                if longest[key, p] >= least:
+                    out[key].append((p, longest[key, p]))
+    return out
+
+
 def tiles(item: list, text: list, shortest: int) -> int:
     """Tokens of ``item`` under a greedy string tiling."""
     a, b = [False] * len(item), [False] * len(text)

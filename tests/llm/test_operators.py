@@ -418,12 +418,43 @@ class TestPacking:
 
 @pytest.mark.parametrize("least", [1, 2, 3, 5])
 def test_line_runs(spark, corpus, least):
-    rows = [*corpus, (500, "a\nb\nc\na\nb\nc\na\nb"), (501, "x\n\n \na\nb\n\nc\nz"), (502, "\n" * 40), (503, "a\nb\nc"), (504, "same\n" * 3000)]
+    rows = [*corpus, (500, "a\nb\nc\na\nb\nc\na\nb"), (501, "x\n\n \na\nb\n\nc\nz"), (502, "\n" * 40), (503, "a\nb\nc"), (504, "same\n" * 200), (505, "z\n\x0b\nq\nb\nc"), (506, "c\na\nb\nc\na")]
     got = line_runs.dedup_lines(table(spark, rows), min_lines=least).collect()
     assert {r["doc_id"]: r["kept"] for r in got} == brute.without_runs(rows, least) and len(got) == len(rows)
+    assert {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in got} == brute.maximal_runs(rows, least)
+
+
+def test_random_line_runs(spark):
+    rng = random.Random(12)
+    rows = [(i, "\n".join(rng.choice("abcd") for _ in range(rng.randint(0, 14)))) for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(5)]
+    got = line_runs.dedup_lines(table(spark, rows)).collect()
+    assert {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in got} == brute.maximal_runs(rows, 1)
+
+
+def test_overlapping_runs_are_told_apart(spark):
+    got = {r["doc_id"]: r for r in line_runs.dedup_lines(table(spark, [(1, "A\nB"), (2, "B\nC"), (3, "A\nB\nC")])).collect()}
+    assert {k: [tuple(x) for x in r["runs"]] for k, r in got.items()} == {1: [(0, 2)], 2: [(0, 2)], 3: [(0, 2), (1, 2)]}
+    assert {k: r["kept"] for k, r in got.items()} == {1: "A\nB", 2: "C", 3: ""}
+
+
+def test_line_runs_of_odd_tables(spark):
     repeated = line_runs.dedup_lines(table(spark, [(7, "p\nq\nr"), (7, "p\nq\nr"), (8, "p\nq\nr"), (None, "p\nq\nr")]), min_lines=2).collect()
-    assert sorted(((r["doc_id"], r["kept"]) for r in repeated), key=str) == sorted([(7, "p\nq\nr"), (7, "p\nq\nr"), (8, ""), (None, "")] if least else [], key=str)
-    assert line_runs.dedup_lines(table(spark, rows).where("false")).count() == 0
+    assert sorted(((r["doc_id"], r["kept"]) for r in repeated), key=str) == sorted([(7, "p\nq\nr"), (7, "p\nq\nr"), (8, ""), (None, "")], key=str)
+    lone = line_runs.dedup_lines(table(spark, [(7, "p\nq"), (7, "p\nq"), (9, None)])).collect()
+    assert sorted((r["doc_id"], r["kept"], r["n_deleted"], len(r["runs"])) for r in lone) == [(7, "p\nq", 0, 0), (7, "p\nq", 0, 0), (9, None, 0, 0)]
+    assert line_runs.dedup_lines(table(spark, [(7, "p")]).where("false")).count() == 0
+
+
+def test_line_runs_sql_on_null_and_empty_texts(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "a\nb"), (2, None), (3, ""), (4, "b\n \na"), (5, "a\nb\na\nb")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = line_runs.op7_line_runs(spark, str(tmp_path))
+    base = duckdb.connect()
+    base.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(base.sql(line_runs.OP7_SQL).fetchall())
 
 
 class TestCrossEntropy:
