@@ -7,19 +7,20 @@ to the bucket of that minimiser; there all windows are sorted and each group of
 equal ones learns its smallest key. Windows of a larger key are removed.
 
 Super-k-mers of a task and bucket are packed together and compressed, which
-more than makes up for the words that neighbours share. Buckets are
-``4 x spark.sql.shuffle.partitions`` by default, so their size is set as that of
-any other shuffle. A minimiser that a sample of the documents shows to be hot
-(over half a bucket's worth of windows; there are at most twice as many as
-buckets) is kept out of the buckets: its windows are grouped by two 64-bit
-hashes with a partially aggregated minimum and joined back, which any number of
-tasks can share. The sample steers traffic alone; no result depends on it.
+more than makes up for the words that neighbours share. Buckets are in
+proportion to the text (``BUCKET_BYTES``), so none grows with the corpus. A
+minimiser that a sample of the documents shows to be hot (over half a bucket's
+worth of windows; there are at most twice as many as buckets) is kept out of the
+buckets: its windows are grouped by two 64-bit hashes with a partially
+aggregated minimum and joined back, which any number of tasks can share; the
+minima of hot windows are broadcast to where these lie. The sample steers
+traffic alone; no result depends on it.
 
 Window equality is that of two independent 64-bit polynomial hashes over 64-bit
 word hashes. Words are maximal runs of bytes other than ASCII white space.
 
 Defined results: null, blank and short texts (fewer than ``k`` words) lose
-nothing. Rows with a null key neither cause nor suffer removal. Rows of one key
+nothing; texts may have any length. Rows with a null key neither cause nor suffer removal. Rows of one key
 never remove each other's windows, so repeated rows are treated alike. Extra
 columns are kept by ``dedup``, except that the outputs replace their namesakes.
 """
@@ -36,11 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auralake.llm.session import append_columns, materialise, pieces, shuffle_partitions, without
+from auralake.llm.session import append_columns, join_unique, materialise, pieces, without
 
 WINDOW = 50
 MINIMISER_WORDS = 8
 FLUSH_BYTES = 32 << 20
+BUCKET_BYTES = 4 << 20
 HOT_SAMPLE_DOCS = 20_000
 B1, B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -112,9 +114,8 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
-def hot_minimisers(docs: DataFrame, text: str, k: int, m: int, buckets: int) -> list[int]:
-    """Minimisers that hold over half a bucket's worth of all windows, by a sample of the documents."""
-    n = docs.count()
+def hot_minimisers(docs: DataFrame, text: str, k: int, m: int, buckets: int, n: int) -> list[int]:
+    """Minimisers that hold over half a bucket's worth of all windows, by a sample of the ``n`` documents."""
     if not n:
         return []
 
@@ -223,10 +224,12 @@ def bucket_windows(bodies: list[tuple[int, bytes]], k: int) -> tuple[np.ndarray,
 STRETCH = "key long, mark long, lo long, hi long"
 
 
-def stretches(docs: DataFrame, key: str, mark: str, text: str, k: int, m: int, buckets: int) -> DataFrame:
+def stretches(docs: DataFrame, key: str, mark: str, text: str, k: int, m: int, buckets: int | None = None) -> DataFrame:
     """(key, mark, lo, hi): stretches of words to be removed; they may overlap."""
     spark = docs.sparkSession
-    hot = hot_minimisers(docs, text, k, m, buckets)
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(text).cast("long"))).first()
+    buckets = buckets or -(-(size or 1) // BUCKET_BYTES)
+    hot = hot_minimisers(docs, text, k, m, buckets, n)
     shared = spark.sparkContext.broadcast(hot)
 
     def search(bucket: pa.Table) -> pa.Table:
@@ -253,14 +256,13 @@ def stretches(docs: DataFrame, key: str, mark: str, text: str, k: int, m: int, b
 
     # Both sides of the join are read anew, so that each has a shuffle of its own, whose hot partitions can be split.
     windows = materialise(docs.select(F.col(key).cast("long").alias(key), mark, text).mapInArrow(single, "h1 long, h2 long, key long, mark long, lo long"))
-    least = materialise(windows.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most"))
-    later = windows.join(least, ["h1", "h2"]).where("key > least")
+    least = materialise(windows.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("times")).where("least < most").drop("most"))
+    later = join_unique(windows, least, ["h1", "h2"], "times", windows.count()).where("key > least")
     return found.unionByName(later.select("key", "mark", "lo", (F.col("lo") + k).alias("hi")))
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = WINDOW, m: int = MINIMISER_WORDS, buckets: int | None = None, into: str = "kept") -> DataFrame:
     """``df`` with n_words, n_removed and the words kept, joined by one space. Keys are integers."""
-    buckets = buckets or 4 * shuffle_partitions(df.sparkSession)
     marked = without(df, "_mark", "_cut", "_key", "_same").withColumn("_mark", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     found = stretches(marked, key, "_mark", text, k, m, buckets)
     cuts = found.groupBy(F.col("key").alias("_key"), F.col("mark").alias("_same")).agg(F.collect_list(F.struct("lo", "hi")).alias("_cut"))
