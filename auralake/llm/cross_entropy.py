@@ -23,7 +23,7 @@ or a bucket. Buckets are ``4 x spark.sql.shuffle.partitions``. Nothing comes to
 driver.
 
 Defined results: a null or blank text has no tokens and null scores. Rows that
-repeat count each and repeat their scores. A document is a target if its label
+repeat count each and repeat their scores. A very long text is a block of its own. A document is a target if its label
 is; null keys and labels of no document are no targets, and repeated labels
 count once. Without targets the target model is uniform and scores stay defined.
 An empty table gives an empty one. Columns other than those named are ignored.
@@ -44,12 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auralake.llm.session import materialise, shuffle_partitions
+from auralake.llm.session import materialise
 
 MU = 50.0
 BLOCK_BYTES = 8 << 20
+BUCKET_BYTES = 8 << 20
 #: Words never hold white space, so these hashes are no word's.
-START, END = (np.uint64(xxhash.xxh3_64_intdigest(x) | 1) for x in (b"<start> ", b"<end> "))
+SHORTER = np.uint64(8)
+START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) >> SHORTER | np.uint64(1) for x in (b"<start> ", b"<end> "))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -74,15 +76,15 @@ class Grams:
             found = (text or b"").split()
             sizes.append(len(found))
             if found:
-                parts += [[int(START)], map(xxhash.xxh3_64_intdigest, found), [int(END)]]
+                parts += [[int(START << SHORTER)], map(xxhash.xxh3_64_intdigest, found), [int(END << SHORTER)]]
         self.sizes = np.array(sizes, np.int64)
         spans = np.where(self.sizes > 0, self.sizes + 2, 0)
-        one = np.fromiter(chain.from_iterable(parts), np.uint64, int(spans.sum())) | np.uint64(1)
+        one = np.fromiter(chain.from_iterable(parts), np.uint64, int(spans.sum())) >> SHORTER | np.uint64(1)
         # Odd hashes are words, even ones are pairs; a pair stands at its second word.
         two = one.copy()
         two[1:] = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ one[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
         two ^= two >> np.uint64(29)
-        two &= ~np.uint64(1)
+        two = two >> SHORTER & ~np.uint64(1)
         self.doc = np.repeat(np.arange(len(sizes)), spans)
         self.predicted = np.ones(len(one), bool)
         self.predicted[(np.cumsum(spans) - spans)[spans > 0]] = False
@@ -123,8 +125,8 @@ class Grams:
 
 
 def _blocks(docs: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame:
-    """(block, keys, texts): documents by the block, their lower-cased texts packed; lengths of -1 stand for null."""
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(docs.schema[key].dataType)), T.StructField("texts", T.BinaryType())])
+    """(block, keys, texts, raw): documents by the block, their lower-cased texts packed, raw bytes before; lengths of -1 stand for null."""
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(docs.schema[key].dataType)), T.StructField("texts", T.BinaryType()), T.StructField("raw", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, held, size, count = zstandard.ZstdCompressor(level=3), [], 0, TaskContext.get().partitionId() << 32
@@ -134,7 +136,7 @@ def _blocks(docs: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame
             keys, texts = zip(*held, strict=True)
             lengths = np.array([-1 if t is None else len(t) for t in texts], "<i8")
             body = squeeze.compress(lengths.tobytes() + b"".join(t or b"" for t in texts))
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([list(keys)], pa.list_(kind)), pa.array([body], pa.binary())], names=schema.fieldNames())
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([list(keys)], pa.list_(kind)), pa.array([body], pa.binary()), pa.array([int(lengths.clip(0).sum())])], names=schema.fieldNames())
 
         for batch in batches:
             kind = batch.column(0).type
@@ -161,7 +163,7 @@ def _texts(body: bytes, n: int) -> list[bytes | None]:
 
 def _asked(marked: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, n, body): the distinct grams of each block with their counts, by ranges of their hashes."""
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+    edges = np.array([(k << 56) // buckets for k in range(1, buckets)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -174,9 +176,12 @@ def _asked(marked: DataFrame, buckets: int) -> DataFrame:
                 cuts = [0, *np.searchsorted(grams.distinct, edges).tolist(), len(grams.distinct)]
                 rows = []
                 for bucket, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    if a == b:
+                        continue
                     gaps = np.diff(grams.distinct[a:b], prepend=np.uint64(0))
                     rows.append((bucket, block, b - a, squeeze.compress(_planes(gaps) + _planes(every[a:b]) + _planes(good[a:b]))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "block", "n", "body"])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "block", "n", "body"])
 
     return marked.select("block", "keys", "texts", "targets").mapInArrow(run, "bucket long, block long, n long, body binary")
 
@@ -185,7 +190,7 @@ ANSWER = "block long, bucket long, n long, body binary, words long, target long,
 
 
 def _answer(messages: pa.Table) -> pa.Table:
-    """For each block's message the totals of its grams, and what the bucket adds to the vocabulary and to both models."""
+    """For each block's message the totals of its grams; the first also says what the bucket adds to the vocabulary and to both models."""
     open_, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
     sizes = messages.column("n").to_pylist()
     grams, every, good = [], [], []
@@ -200,7 +205,7 @@ def _answer(messages: pa.Table) -> pa.Table:
     bodies = [squeeze.compress(b"".join(_planes(t[place[a:b]]) for t in total)) for a, b in zip(cuts, cuts[1:], strict=False)]
     predicted = (distinct & np.uint64(1)).astype(bool) & (distinct != START)
     sums = [int(predicted.sum()), *(int(t[predicted].sum()) for t in total)]
-    columns = [messages.column("block"), messages.column("bucket"), messages.column("n"), pa.array(bodies, pa.binary()), *(pa.array([x] * len(sizes), pa.int64()) for x in sums)]
+    columns = [messages.column("block"), messages.column("bucket"), messages.column("n"), pa.array(bodies, pa.binary()), *(pa.array([x, *[0] * (len(sizes) - 1)], pa.int64()) for x in sums)]
     return pa.table(columns, names=["block", "bucket", "n", "body", "words", "target", "background"])
 
 
@@ -214,31 +219,32 @@ def _score(key: str, kind: T.DataType):
             for at in range(batch.num_rows):
                 keys, texts, told = (batch.column(i).slice(at, 1) for i in range(3))
                 keys, told = keys.flatten(), told.flatten()
+                words_, target, background = (x or 0 for x in batch.column(3)[at].as_py())
                 grams = Grams(_texts(texts[0].as_py(), len(keys)))
                 totals, done = np.zeros((2, len(grams.distinct)), np.int64), 0
                 for _, n, body in sorted(zip(*(told.field(c).to_pylist() for c in ("bucket", "n", "body")), strict=True)):
                     data = open_.decompress(body)
                     totals[0, done : done + n], totals[1, done : done + n] = _unplanes(data, n), _unplanes(data[8 * n :], n)
                     done += n
-                words_, target, background = (pc.sum(told.field(c)).as_py() for c in ("words", "target", "background"))
                 found = grams.losses(totals, (target, background), words_)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(grams.sizes), *(pa.array(x, mask=np.isnan(x)) for x in found)], names=schema.fieldNames())
 
     return run, schema
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, chosen, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, chosen, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(key, n_tokens, ce_target, ce_background, ce_difference) of every row, each left out of the models that it is in."""
-    buckets = buckets or 4 * shuffle_partitions(docs.sparkSession)
     hits = labels.where(chosen).where(F.col(key).isNotNull()).select(key).distinct()
     # Block numbers must not change once they are given, so the blocks are written.
     blocks = materialise(_blocks(docs, key, text, block_bytes))
+    buckets = -(-(blocks.agg(F.sum("raw")).first()[0] or 1) // bucket_bytes)
     placed = blocks.select("block", F.posexplode("keys").alias("at", key))
     targets = placed.join(hits.hint("merge"), key, "left_semi").groupBy("block").agg(F.collect_list("at").alias("targets"))
     marked = blocks.join(targets.hint("merge"), "block", "left")
     answers = _asked(marked, buckets).groupBy("bucket").applyInArrow(_answer, ANSWER)
-    told = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "body", "words", "target", "background")).alias("told"))
-    scored = blocks.join(told.hint("merge"), "block").select("keys", "texts", "told").mapInArrow(*_score(key, docs.schema[key].dataType))
+    told = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "body")).alias("told"))
+    sums = answers.agg(F.array(F.sum("words"), F.sum("target"), F.sum("background"))).scalar()
+    scored = blocks.join(told.hint("merge"), "block", "left").select("keys", "texts", "told", sums.alias("sums")).mapInArrow(*_score(key, docs.schema[key].dataType))
     # Labels grow with the documents, so neither side is broadcast, whatever its size.
     flagged = scored.join(hits.withColumn("_target", F.lit(True)).hint("merge"), key, "left")
     target = F.when(F.col("_target"), F.col("ce_left_out")).otherwise(F.col("ce_target"))
