@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from auralake.functions import bits
 from auralake.functions import text as tx
 from auralake.operators import maintenance, relational
+from auralake.operators.lineage import cut
 
 
 def write_batch(store: maintenance.Store, analysed: DataFrame, version: int, now_ms: int) -> DataFrame:
-    """Store one batch of analysed tracks; (table, rows) that it brought.
+    """Store one batch of analysed tracks in one commit; (table, rows) that it inserted or replaced.
 
     ``analysed``: track_id, duration_ms, landmarks, words, features. Landmarks are
     added once, features and recordings replaced, halves replaced per track. A
-    batch that is run again changes nothing.
+    batch that is run again changes nothing. The analysis runs once.
     """
     from auralake.sources.tables import SCHEMAS
 
+    analysed = cut(analysed)
     marks = analysed.select(F.inline("landmarks"), F.col("track_id").alias("trackId")).select("hash", "trackId", F.col("anchor_frame").alias("anchorFrame"))
     feats = analysed.where("features is not null").select(
         F.col("track_id").alias("trackId"),
@@ -29,15 +31,16 @@ def write_batch(store: maintenance.Store, analysed: DataFrame, version: int, now
     recordings = analysed.where(F.size("words") > 0).select(F.col("track_id").alias("trackId"), bits.pack_words(F.col("words")).alias("subHashes"), F.col("duration_ms").cast("long").alias("durationMs"), F.lit(now_ms).cast("long").alias("computedAt"))
     halves = analysed.where(F.size("words") > 0).select(F.explode(bits.halves(F.col("words"))).alias("half"), F.col("track_id").alias("trackId"))
     old = {n: store.read(n, SCHEMAS[n]) for n in ("fingerprints", "track_features", "recording_fingerprints", "recording_sub_hashes")}
+    tracks = {n: df.join(new.select("trackId").distinct(), "trackId", "left_anti") for n, df, new in (("track_features", old["track_features"], feats), ("recording_fingerprints", old["recording_fingerprints"], recordings))}
     made = {
-        "fingerprints": (relational.insert_ignore(old["fingerprints"], marks, ["hash", "trackId", "anchorFrame"]), marks.distinct()),
-        "track_features": (relational.upsert(old["track_features"], feats, ["trackId"]), feats),
-        "recording_fingerprints": (relational.upsert(old["recording_fingerprints"], recordings, ["trackId"]), recordings),
-        "recording_sub_hashes": (relational.replace_children(old["recording_sub_hashes"], halves, "trackId"), halves),
+        "fingerprints": (relational.insert_ignore(old["fingerprints"], marks, ["hash", "trackId", "anchorFrame"]), old["fingerprints"]),
+        "track_features": (relational.upsert(old["track_features"], feats, ["trackId"]), tracks["track_features"]),
+        "recording_fingerprints": (relational.upsert(old["recording_fingerprints"], recordings, ["trackId"]), tracks["recording_fingerprints"]),
+        "recording_sub_hashes": (relational.replace_children(old["recording_sub_hashes"], halves, "trackId"), old["recording_sub_hashes"].join(halves.select("trackId").distinct(), "trackId", "left_anti")),
     }
-    told = [(name, new.count()) for name, (_, new) in made.items()]
-    for name, (whole, _) in made.items():
-        store.publish(name, whole)
+    written = {name: store.write(name, whole) for name, (whole, _) in made.items()}
+    told = [(name, written[name][1] - stayed.count()) for name, (_, stayed) in made.items()]
+    store.commit({name: folder for name, (folder, _) in written.items()})
     return store.spark.createDataFrame(told, "table string, rows long")
 
 

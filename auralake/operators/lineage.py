@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's checkpoint folder and read from there.
 
-    The folder is ``spark.checkpoint.dir``; one of our own is set only where that is unset.
+    The folder is ``spark.checkpoint.dir``. Where that is unset, a local session gets
+    a temporary one; on a cluster, whose nodes don't share one, this raises.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auralake-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="auralake-"))
     return df.checkpoint(eager=True)
 
 

@@ -1,19 +1,24 @@
 """Table maintenance: counts, integrity, resets, rewrites, merges, publishing.
 
-Tables are Parquet directories under one root. A change is written beside the
-table and moved into its place, so readers see the old rows or the new ones.
-Paths are Hadoop paths: nothing here opens a local file.
+Tables are Parquet folders under one root, and a commit is a small file that
+says which folder is which table. A change writes new folders, of any number of
+tables, and then moves one commit file into its place, so readers see all the
+old rows or all the new ones, whenever the writer stops. Paths are Hadoop paths:
+nothing here opens a local file.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auralake.operators.relational import overwrite_columns
 
 # Tables that can be computed again, and those that a reset must keep.
-REBUILDABLE = ["fingerprints", "track_features", "recording_fingerprints", "recording_sub_hashes", "track_embeddings", "melody_contours", "albums", "artists", "shelves"]
+REBUILDABLE = ["fingerprints", "track_embeddings", "track_features", "melody_contours", "recording_fingerprints", "recording_sub_hashes", "albums", "artists", "shelves"]
 PRESERVED = ["tracks", "history", "local_playlists", "recording_splits", "canonical_metadata", "drops", "friends", "track_lyrics"]
 # Columns of a track that belong to its user, and tables that are taken over whole.
 USER_COLUMNS = ["isLiked", "isDownloaded", "isCached", "localFilePath", "playCount", "lastPlayedTimestamp", "addedTimestamp", "isLibrary", "contentHash"]
@@ -28,16 +33,33 @@ class Store:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(f"{self.root}/{folder}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _commits(self) -> list[int]:
+        return [int(n.removesuffix(".json")) for n in self._names("_commits") if not n.startswith(".") and n.endswith(".json")]
+
+    def _state(self, commit: int | None = None) -> dict[str, str]:
+        """The folder of each table, by the newest commit or the one named."""
+        known = self._commits()
+        if not known:
+            return {}
+        file = self._fs.open(self._path(f"{self.root}/_commits/{known[-1] if commit is None else commit:020}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8"))
+        finally:
+            file.close()
+
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        """Where the rows of a table are now."""
+        return f"{self.root}/{self._state()[name]}"
 
     def exists(self, name: str) -> bool:
-        return self._fs.exists(self._path(self.path(name)))
+        return name in self._state()
 
     def tables(self) -> list[str]:
-        if not self._fs.exists(self._path(self.root)):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if not s.getPath().getName().startswith((".", "_")))
+        return sorted(self._state())
 
     def read(self, name: str, schema: str | None = None) -> DataFrame:
         """A table; one that doesn't exist is empty if its schema is given."""
@@ -45,23 +67,54 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(self.path(name))
 
+    def ensure(self, name: str, schema: str) -> bool:
+        """Create an empty table where there is none; whether that was so."""
+        if self.exists(name):
+            return False
+        self.publish(name, self.spark.createDataFrame([], schema))
+        return True
+
+    def write(self, name: str, df: DataFrame) -> tuple[str, int]:
+        """Rows in a folder of their own, which no commit names yet, and their number as written."""
+        folder = f"{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
+        return folder, self.spark.read.parquet(f"{self.root}/{folder}").count()
+
+    def commit(self, folders: dict[str, str | None]) -> None:
+        """Point tables at new folders, all in one step; a table without a folder goes.
+
+        Raises if another writer was faster. The rows of the commit before stay for its readers.
+        """
+        known = self._commits()
+        state = {n: f for n, f in {**self._state(), **folders}.items() if f is not None}
+        fresh, number = self._path(f"{self.root}/_commits/.{uuid.uuid4().hex}"), known[-1] + 1 if known else 0
+        file = self._fs.create(fresh)
+        file.write(bytearray(json.dumps(state, sort_keys=True).encode()))
+        file.close()
+        at = self._path(f"{self.root}/_commits/{number:020}.json")
+        if self._fs.exists(at) or not self._fs.rename(fresh, at):
+            raise RuntimeError(f"commit {number} of {self.root} was taken by another writer")
+        self._sweep([*known, number])
+
+    def _sweep(self, commits: list[int]) -> None:
+        """Delete what only commits before the last two name; a stop in between leaves it for the next."""
+        kept = {f for c in commits[-2:] for f in self._state(c).values()}
+        for old in commits[:-2]:
+            for folder in set(self._state(old).values()) - kept:
+                self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+            self._fs.delete(self._path(f"{self.root}/_commits/{old:020}.json"), False)
+
     def publish(self, name: str, df: DataFrame) -> int:
         """Replace a table by rows that may come from itself; returns their number as written."""
-        fresh, old = self._path(self.path(f".new-{name}")), self._path(self.path(f".old-{name}"))
-        for leftover in (fresh, old):
-            self._fs.delete(leftover, True)
-        df.write.parquet(fresh.toString())
-        n = self.spark.read.parquet(fresh.toString()).count()
-        at = self._path(self.path(name))
-        if self._fs.exists(at):
-            self._fs.rename(at, old)
-        self._fs.rename(fresh, at)
-        self._fs.delete(old, True)
-        self.spark.catalog.refreshByPath(self.path(name))
+        folder, n = self.write(name, df)
+        self.commit({name: folder})
         return n
 
     def drop(self, name: str) -> bool:
-        return self._fs.delete(self._path(self.path(name)), True)
+        there = self.exists(name)
+        if there:
+            self.commit({name: None})
+        return there
 
 
 def counts(tables: dict[str, DataFrame | None]) -> DataFrame:
@@ -125,3 +178,37 @@ def reset_derived(store: Store, keep: list[str] | None = None) -> DataFrame:
 def recover(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
     """Every row that can still be read, files that are damaged or gone left out, equal keys once."""
     return spark.read.schema(schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(path).dropDuplicates(keys)
+
+
+def repair(store: Store, name: str, schema: str, keys: list[str]) -> DataFrame:
+    """Rewrite a table from what can be read of it; (table, files, unreadable, recovered).
+
+    ``recovered`` are rows as written; ``unreadable`` are files whose rows, of a number unknown, are lost.
+    """
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    spark, path = store.spark, store.path(name)
+    names = [f for f in store._names(path.removeprefix(store.root + "/")) if f.endswith(".parquet")]
+
+    def sound(file: str) -> bool:
+        try:
+            spark.read.schema(schema).parquet(f"{path}/{file}").write.format("noop").mode("overwrite").save()
+            return True
+        except (PySparkException, Py4JJavaError):
+            return False
+
+    lost = [f for f in names if not sound(f)]
+    n = store.publish(name, recover(spark, path, schema, keys))
+    return spark.createDataFrame([(name, len(names), len(lost), n)], "table string, files long, unreadable long, recovered long")
+
+
+def rewrite_table(store: Store, name: str, clustered_by: list[str], unique: list[str]) -> int:
+    """``rewrite`` a table in place; raises, and leaves the old rows, unless every key is still there."""
+    old = store.read(name)
+    folder, n = store.write(name, rewrite(old, clustered_by, unique))
+    wanted = old.select(*unique).distinct().count()
+    if n != wanted:
+        raise RuntimeError(f"{name}: {n} rows written for {wanted} keys")
+    store.commit({name: folder})
+    return n

@@ -36,7 +36,7 @@ class Tables:
             F.col("doc_id").alias("id"),
             F.col("doc_id").cast("string").alias("source_track_id"),
             F.expr("CASE lang WHEN 'en' THEN 'NAVIDROME' WHEN 'de' THEN 'YTMUSIC' WHEN 'fr' THEN 'youtube' END").alias("source"),
-            F.substring("text", 1, 16).alias("title"),
+            F.col("text").alias("title"),
             F.col("source").alias("artist"),
             F.col("n_chars").alias("duration_ms"),
             F.expr("CASE WHEN doc_id % 7 = 0 THEN '/data/files/' || doc_id || '.opus' END").alias("local_file_path"),
@@ -88,7 +88,7 @@ class Tables:
 TRACKS = """tracks AS (
   SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS source_track_id,
     CASE lang WHEN 'en' THEN 'NAVIDROME' WHEN 'de' THEN 'YTMUSIC' WHEN 'fr' THEN 'youtube' END AS source,
-    substring(text, 1, 16) AS title, d.source AS artist, n_chars AS duration_ms,
+    text AS title, d.source AS artist, n_chars AS duration_ms,
     CASE WHEN doc_id % 7 = 0 THEN '/data/files/' || doc_id || '.opus' END AS local_file_path,
     CASE WHEN doc_id % 3 = 0 THEN 'http://s.example/' || doc_id END AS stream_uri
   FROM documents d)"""

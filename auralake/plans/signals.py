@@ -125,9 +125,9 @@ def m9_a14_d1_halves(t: Tables) -> DataFrame:
     return t.recordings.select("id", F.explode(bits.halves(F.col("words"))).alias("half"))
 
 
-@query(f"WITH {RECORDINGS} SELECT id, words FROM recordings WHERE len(words) <= 40")
+@query(f"WITH {RECORDINGS} SELECT id, words FROM recordings")
 def s17_blob_codec(t: Tables) -> DataFrame:
-    return t.recordings.where(F.size("words") <= 40).select("id", bits.unpack_words(bits.pack_words(F.col("words"))).alias("words"))
+    return t.recordings.select("id", bits.unpack_words(bits.pack_words(F.col("words"))).alias("words"))
 
 
 ALIGNED = f"""{SHARED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, id) AS rank FROM hits),
@@ -188,15 +188,10 @@ def _whole_signal(text: str):
     return audio.unsigned_samples(F.encode(text, "utf-8"))
 
 
-def _as_signal(text: str):
-    """Ten seconds of a document's bytes, at most, as samples between -1 and 1."""
-    return audio.unsigned_samples(F.substring(F.encode(text, "utf-8"), 1, 80000))
-
-
-@query("SELECT doc_id, CAST(greatest((least(strlen(text), 80000) - 1024) // 256 + 1 - 4, 0) AS INTEGER) AS n_words FROM documents WHERE strlen(text) >= 1024 AND doc_id % 2 = 0")
+@query("SELECT doc_id, CAST(greatest((strlen(text) - 1024) // 256 + 1 - 4, 0) AS INTEGER) AS n_words FROM documents WHERE strlen(text) >= 1024")
 def m1_m4_m8_recording_words(t: Tables) -> DataFrame:
     """The number of recording words of documents played as sound; their values are held against known digests in tests."""
-    some = t.texts.where("octet_length(text) >= 1024 AND doc_id % 2 = 0").select("doc_id", signal.analyse(_as_signal("text")).alias("a"))
+    some = t.texts.where("octet_length(text) >= 1024").select("doc_id", signal.analyse(_whole_signal("text")).alias("a"))
     return some.select("doc_id", F.size("a.words").alias("n_words"))
 
 
@@ -210,6 +205,6 @@ def r13_r14_signal_analysis(t: Tables) -> DataFrame:
 @query()
 def m24_m25_noisy_excerpts(t: Tables) -> DataFrame:
     """Excerpts mixed with seeded noise at 10 dB."""
-    clean = signal.excerpt(_as_signal("text"), F.lit(0.0), F.lit(0.25))
+    clean = signal.excerpt(_whole_signal("text"), F.lit(0.0), F.lit(0.25))
     noisy = signal.with_noise(clean, signal.white_noise(F.lit(500), F.col("doc_id")), F.lit(10.0))
     return t.texts.where("octet_length(text) >= 2000").select("doc_id", noisy.alias("x")).select("doc_id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double")), 3).alias("total"))

@@ -29,9 +29,9 @@ def t2_tokens(t: Tables) -> DataFrame:
     return _postings(t).groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("terms"), F.min("term").alias("first"), F.max("term").alias("last"))
 
 
-@query(r"""SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(substring(text, 1, 60)), '\s+'), lambda x: regexp_replace(x, '[^\p{L}\p{N}_]', '', 'g')), lambda x: x <> '') AS terms FROM documents""")
+@query(r"""SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda x: regexp_replace(x, '[^\p{L}\p{N}_]', '', 'g')), lambda x: x <> '') AS terms FROM documents""")
 def t3_query_terms(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tx.query_terms(F.substring("text", 1, 60)).alias("terms"))
+    return t.documents.select("doc_id", tx.query_terms(F.col("text")).alias("terms"))
 
 
 @query()
@@ -65,11 +65,11 @@ def t7_r12_matching_line(t: Tables) -> DataFrame:
     return search.with_line(_lyrics(t).withColumn("plain", F.lit(None).cast("string")), "plain", "synced", "Of the").select("conv_id", "ts_ms", "line")
 
 
-@query(r"""SELECT doc_id, lower(regexp_replace(regexp_replace(substring(text, 1, 30) || CASE doc_id % 3 WHEN 0 THEN ' (Official Video)' WHEN 1 THEN ' (Lyrics)' ELSE ' (Live at X)' END, '(?i)\((?:audio|visualiz[\p{L}\p{N}_]+|lyrics?|official[^)]*|live[^)]*|remaster[^)]*)\)', '', 'g'), '[^\p{L}\p{N}_]+', '', 'g')) AS title,
-  trim(regexp_replace(lower(replace(replace(substring(text, 1, 30), '’', ''), '''', '')), '[^\p{L}\p{N}_\s]', '', 'g')) AS tag, lower(trim(coalesce(lang, ''))) AS key FROM documents""")
+@query(r"""SELECT doc_id, lower(regexp_replace(regexp_replace(text || CASE doc_id % 3 WHEN 0 THEN ' (Official Video)' WHEN 1 THEN ' (Lyrics)' ELSE ' (Live at X)' END, '(?i)\((?:audio|visualiz[\p{L}\p{N}_]+|lyrics?|official[^)]*|live[^)]*|remaster[^)]*)\)', '', 'g'), '[^\p{L}\p{N}_]+', '', 'g')) AS title,
+  trim(regexp_replace(lower(replace(replace(text, '’', ''), '''', '')), '[^\p{L}\p{N}_\s]', '', 'g')) AS tag, lower(trim(coalesce(lang, ''))) AS key FROM documents""")
 def t8_t9_t10_keys(t: Tables) -> DataFrame:
-    title = F.concat(F.substring("text", 1, 30), F.expr("CASE doc_id % 3 WHEN 0 THEN ' (Official Video)' WHEN 1 THEN ' (Lyrics)' ELSE ' (Live at X)' END"))
-    return t.documents.select("doc_id", tx.title_key(title).alias("title"), tx.tag_key(F.substring("text", 1, 30)).alias("tag"), tx.key(F.col("lang")).alias("key"))
+    title = F.concat(F.col("text"), F.expr("CASE doc_id % 3 WHEN 0 THEN ' (Official Video)' WHEN 1 THEN ' (Lyrics)' ELSE ' (Live at X)' END"))
+    return t.documents.select("doc_id", tx.title_key(title).alias("title"), tx.tag_key(F.col("text")).alias("tag"), tx.key(F.col("lang")).alias("key"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source || ' - ' || lang END AS full_name, CASE WHEN doc_id % 5 = 0 THEN 'Unknown' ELSE source END || ' - ' || CASE WHEN doc_id % 3 = 0 THEN 'Unknown' ELSE lang END AS label,
@@ -91,9 +91,9 @@ def t13_t16_clock(t: Tables) -> DataFrame:
     return t.events.select("event_id", tx.clock(seconds).alias("clock"), tx.stamp(F.col("event_id") * 37).alias("stamp"))
 
 
-@query("SELECT doc_id, CAST(length(substring(text, 1, 40)) AS INTEGER) AS width, CASE WHEN length(text) > 12 THEN substring(text, 1, 11) || '…' ELSE text END AS short, md5(text) AS md5 FROM documents")
+@query("SELECT doc_id, CAST(5 + length(text) AS INTEGER) AS width, CASE WHEN length(text) > 12 THEN substring(text, 1, 11) || '…' ELSE text END AS short, md5(text) AS md5 FROM documents")
 def t14_t15_x4_width_and_digest(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tx.display_width(F.substring("text", 1, 40)).alias("width"), tx.truncate(F.col("text"), 12).alias("short"), F.md5("text").alias("md5"))
+    return t.documents.select("doc_id", tx.display_width(F.concat(F.lit("\u65e5\u672ce\u0301"), "text")).alias("width"), tx.truncate(F.col("text"), 12).alias("short"), F.md5("text").alias("md5"))
 
 
 @query("SELECT event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms, strftime(ts, '%H:%M:%S') AS stamp FROM events")

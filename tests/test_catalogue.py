@@ -84,6 +84,74 @@ def test_reset_keeps_what_cannot_be_rebuilt(spark, store):
     assert store.read("fingerprints").count() == 0 and store.read("track_features").count() == 1 and store.read("tracks").count() == 3
 
 
+class Stopped(Exception):
+    pass
+
+
+# Four folders are written, then the commit file, then it is moved, then old folders go.
+@pytest.mark.parametrize("step", [2, 4, 5, 6])
+def test_a_stop_at_any_step_keeps_all_old_or_all_new_rows(spark, store, step):
+    """A batch of four tables, stopped after so many file operations, then done again."""
+    first = spark.createDataFrame([("t1", 1, [(123, 0), (456, 4)], [0x11112222, 0x33334444], SIX)], ANALYSED)
+    jobs.write_batch(store, first, 1, 5)
+    names = ("fingerprints", "track_features", "recording_fingerprints", "recording_sub_hashes")
+    rows = lambda: tuple(store.read(n).count() for n in names)
+    old = rows()
+    more = spark.createDataFrame([("t2", 1, [(5, 0)], [0x77778888], SIX), ("t1", 1, [(123, 0), (9, 9)], [0xF00DBEEF], None)], ANALYSED)
+    count, real, write = [0], store._fs, store.write
+
+    def counted(f):
+        def run(*args):
+            count[0] += 1
+            if count[0] > step:
+                raise Stopped
+            return f(*args)
+
+        return run
+
+    class Files:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+    files = Files()
+    for n in ("create", "rename", "delete"):
+        setattr(files, n, counted(getattr(real, n)))
+    store._fs, store.write = files, counted(write)
+    try:
+        jobs.write_batch(store, more, 1, 6)
+    except Stopped:
+        pass
+    store._fs, store.write = real, write
+    assert rows() in (old, (4, 2, 2, 4))
+    jobs.write_batch(store, more, 1, 7)
+    assert rows() == (4, 2, 2, 4) and store.read("tracks").count() == 3
+    again = {r["table"]: r["rows"] for r in jobs.write_batch(store, more, 1, 8).collect()}
+    assert again["fingerprints"] == 0 and rows() == (4, 2, 2, 4)
+
+
+def test_two_writers_cannot_take_one_commit(spark, store):
+    other = maintenance.Store(spark, store.root)
+    folder, _ = other.write("tracks", other.read("tracks").limit(1))
+    taken = store._commits()
+    store.publish("x", spark.range(3))
+    other._commits = lambda: taken
+    with pytest.raises(RuntimeError):
+        other.commit({"tracks": folder})
+    assert store.read("tracks").count() == 3 and store.ensure("y", "a int") and not store.ensure("x", "a int")
+
+
+def test_repair_and_rewrite_tell_what_they_did(spark, store, tmp_path):
+    marks = spark.createDataFrame([(i, "t1", i % 7) for i in range(500)], SCHEMAS["fingerprints"])
+    store.publish("fingerprints", marks.unionByName(marks).repartition(4))
+    assert maintenance.rewrite_table(store, "fingerprints", ["hash"], ["hash", "trackId", "anchorFrame"]) == 500
+    store.publish("fingerprints", marks.repartition(4))
+    file = sorted((tmp_path / "store" / store.path("fingerprints").rsplit("/", 1)[1]).glob("part-*.parquet"))[0]
+    file.write_bytes(b"not parquet at all")
+    (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    told = maintenance.repair(store, "fingerprints", SCHEMAS["fingerprints"], ["hash", "trackId", "anchorFrame"]).first()
+    assert told["files"] == 4 and told["unreadable"] == 1 and 300 <= told["recovered"] < 500 and store.read("fingerprints").count() == told["recovered"]
+
+
 def test_recovery_skips_damaged_files(spark, tmp_path):
     spark.createDataFrame([(i, "t1", i % 7) for i in range(500)], SCHEMAS["fingerprints"]).repartition(4).write.parquet(f"{tmp_path}/marks")
     files = sorted((tmp_path / "marks").glob("part-*.parquet"))

@@ -58,6 +58,22 @@ def test_sqlite(spark, tmp_path):
     assert df.agg(F.sum("d")).first()[0] == sum(i / 2 for i in range(1000)) and read("empty").count() == 0
 
 
+def test_sqlite_types_sparse_ids_and_columns(spark, tmp_path):
+    path = str(tmp_path / "y.db")
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE t (id BIGINT, ok BOOLEAN, n NUMERIC(5, 2), f DOUBLE PRECISION, v VARCHAR(9), x)")
+        c.executemany("INSERT INTO t (rowid, id, ok, n, f, v, x) VALUES (?, ?, ?, ?, ?, ?, ?)", [(r, i, i % 2, i / 4, i, f"v{i}", i) for i, r in enumerate([1, 2, 3, 10**6, 9 * 10**12])])
+        c.execute("INSERT INTO t (id, ok, n, f, v, x) VALUES ('word', NULL, 'word', 1, x'41', 2.5)")
+    sqlite.register(spark)
+    read = lambda **o: spark.read.format("sqlite").options(path=path, dbtable="t", rows=2, **o).load()
+    df = read()
+    assert [f.dataType.simpleString() for f in df.schema] == ["bigint", "bigint", "double", "double", "string", "string"]
+    assert df.rdd.getNumPartitions() == 3
+    assert sorted(map(tuple, df.where("id is not null").collect())) == [(i, i % 2, i / 4, float(i), f"v{i}", str(i)) for i in range(5)]
+    assert tuple(df.where("id is null").first()) == (None, None, None, 1.0, "A", "2.5")
+    assert read(columns="v, id").columns == ["id", "v"] and read(columns="id").count() == 6
+
+
 def test_streams_go_on_where_they_stopped(spark, tmp_path):
     rows = [(u, i, float(i * (u + 1) % 17), (i * 7 + u) % 5 == 0) for i in range(60) for u in range(3)]
     schema = "u long, event_id long, value double, hit boolean"
