@@ -99,24 +99,31 @@ class Centroids:
         return self.languages[best], score, bool(score < self.cutoffs[best] * min(1.0, np.count_nonzero(found) / ENOUGH) ** 0.5)
 
 
+def _cosines(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Without a matrix library, whose threads would each keep buffers in every worker."""
+    return np.einsum("ij,kj->ik", rows, centres)
+
+
 def _cluster(rows: np.ndarray, k: int) -> np.ndarray:
     """Unit centroids by spherical k-means; seeds are far from each other. Those of few rows go."""
     centres = rows[:1]
     for _ in range(min(k, len(rows)) - 1):
-        centres = np.vstack([centres, rows[np.argmin((rows @ centres.T).max(axis=1))]])
+        centres = np.vstack([centres, rows[np.argmin(_cosines(rows, centres).max(axis=1))]])
     for _ in range(ROUNDS):
-        own = np.argmax(rows @ centres.T, axis=1)
-        moved = [rows[own == j].sum(axis=0) if (own == j).any() else c for j, c in enumerate(centres)]
+        own = np.argmax(_cosines(rows, centres), axis=1)
+        moved = [np.einsum("i,ij->j", (own == j).astype(rows.dtype), rows) if (own == j).any() else c for j, c in enumerate(centres)]
         centres = np.array([m / (np.linalg.norm(m) or 1) for m in moved])
-    own = np.bincount(np.argmax(rows @ centres.T, axis=1), minlength=len(centres))
+    own = np.bincount(np.argmax(_cosines(rows, centres), axis=1), minlength=len(centres))
     return centres[own >= min(own.max(), SUPPORT * len(rows))]
 
 
 def _cutoff(rows: np.ndarray) -> float:
     """A share of the low quantile of cosines to centroids that the rows had no part in."""
+    if len(rows) < 2 * FOLDS:
+        return REJECT * float(np.quantile(_cosines(rows, _cluster(rows, CENTROIDS)).max(axis=1), QUANTILE))
     fold = np.arange(len(rows)) % FOLDS
-    parts = [(rows[fold == j], rows[fold != j]) for j in range(FOLDS)] if len(rows) >= 2 * FOLDS else [(rows, rows)]
-    return REJECT * float(np.quantile(np.concatenate([(own @ _cluster(rest, CENTROIDS).T).max(axis=1) for own, rest in parts]), QUANTILE))
+    least = [_cosines(rows[fold == j], _cluster(rows[fold != j], CENTROIDS)).max(axis=1) for j in range(FOLDS)]
+    return REJECT * float(np.quantile(np.concatenate(least), QUANTILE))
 
 
 def _examples(df: DataFrame, key: str, text: str, label: str, sample: int) -> DataFrame:
@@ -142,10 +149,10 @@ def _examples(df: DataFrame, key: str, text: str, label: str, sample: int) -> Da
     return materialise(ranked.where(F.col("nth") <= sample).select("label", "at", "counts"))
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
+def _vectors(table: pa.Table) -> Iterator[np.ndarray]:
     """The count vectors of a label in the order of their hashes."""
-    table = table.sort_by("at")
-    return np.stack([np.frombuffer(x.as_py(), "<f4") for x in table.column("counts")])
+    for i in np.argsort(table.column("at").to_numpy()).tolist():
+        yield np.frombuffer(table.column("counts")[i].as_py(), "<f4")
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> Centroids:
@@ -153,7 +160,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
     examples = _examples(df, key, text, label, sample)
 
     def frequencies(table: pa.Table) -> pa.Table:
-        have = (_matrix(table) > 0).sum(axis=0)
+        have = sum((x > 0).astype(np.int64) for x in _vectors(table))
         return pa.table({"cell": pa.array(range(DIM), pa.int64()), "n": pa.array(have, pa.int64()), "rows": pa.array(np.full(DIM, len(table)), pa.int64())})
 
     held = examples.groupBy("label").applyInArrow(frequencies, "cell long, n long, rows long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).collect()
@@ -165,7 +172,9 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
     weigh = Centroids(idf, np.zeros((0, DIM)), [], []).vector
 
     def cluster(table: pa.Table) -> pa.Table:
-        vectors = np.array([weigh(x) for x in _matrix(table)])
+        vectors = np.empty((len(table), DIM), np.float32)
+        for i, x in enumerate(_vectors(table)):
+            vectors[i] = weigh(x)
         found = _cluster(vectors, CENTROIDS)
         columns = [[table.column("label")[0].as_py()] * len(found), range(len(found)), [c.astype("<f4").tobytes() for c in found], [_cutoff(vectors)] * len(found)]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.float64()), strict=True)], names=["label", "nth", "centre", "cutoff"])
