@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from auralake.llm.session import append_columns, materialise
+from auralake.llm.session import append_columns, give_back, materialise
 
 DIM = 8192
 SAMPLE_PER_LANGUAGE = 400
@@ -175,8 +175,10 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
         vectors = np.empty((len(table), DIM), np.float32)
         for i, x in enumerate(_vectors(table)):
             vectors[i] = weigh(x)
-        found = _cluster(vectors, CENTROIDS)
-        columns = [[table.column("label")[0].as_py()] * len(found), range(len(found)), [c.astype("<f4").tobytes() for c in found], [_cutoff(vectors)] * len(found)]
+        found, cutoff = _cluster(vectors, CENTROIDS), _cutoff(vectors)
+        del vectors
+        give_back()
+        columns = [[table.column("label")[0].as_py()] * len(found), range(len(found)), [c.astype("<f4").tobytes() for c in found], [cutoff] * len(found)]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.float64()), strict=True)], names=["label", "nth", "centre", "cutoff"])
 
     rows = sorted(examples.groupBy("label").applyInArrow(cluster, "label string, nth long, centre binary, cutoff double").collect(), key=lambda r: (r["label"], r["nth"]))

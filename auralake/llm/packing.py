@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auralake.llm.session import pieces
+from auralake.llm.session import give_back, pieces
 from auralake.llm.wordpiece import SUFFIX, byte_alphabet
 
 CAPACITY = 4096
@@ -48,7 +48,8 @@ MAX_SEGMENTS = 512
 END_ID = 2
 BUFFER_ITEMS = 1024
 BUFFER_TOKENS = 4 << 20
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 100_000
+STEP_CHARACTERS = 1 << 18
 SHIFT = 40
 
 
@@ -101,6 +102,17 @@ class TokenIds:
             self.coder = PieceCoder(json.load(file)["model"]["vocab"]) if sys.byteorder == "little" else None
 
     def of(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts; as many at a time as keep the tables small."""
+        found, some, size = [], [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text or "")
+            if size >= STEP_CHARACTERS:
+                found += self._of(some)
+                some, size = [], 0
+        return found + self._of(some)
+
+    def _of(self, texts: list[str | None]) -> list[bytes]:
         parts = [(t or "").encode("utf-8", "replace").split() for t in texts]
         if len(self.seen) > CACHE_CHUNKS:
             self.seen, self.before = {}, self.seen
@@ -265,6 +277,7 @@ def pack_documents(
             place(sequence)
         if rows:
             yield flush()
+        give_back()
 
     return df.select(key, text).mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -72,10 +73,19 @@ def append_columns(
                 arrays = [batch.column(i) for i in range(batch.num_columns)]
                 added = of(batch)
                 yield pa.RecordBatch.from_arrays([*arrays[: len(names)], *added], names=[*names, *[f.name for f in fields]])
+        give_back()
 
     return kept.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system; Python workers stay alive between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def pieces(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about ``most_bytes`` each, one row at least."""
     if batch.num_rows == 0:
