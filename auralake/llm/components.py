@@ -39,7 +39,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     seen = state(now)
     while seen[0]:
-        now = materialise(_star(materialise(_star(now, True, seen[0])), False, seen[0]))
+        now = materialise(_star(materialise(_star(now, True, seen[0]), seen[0]), False, seen[0]), seen[0])
         found = state(now)
         if found == seen:
             break

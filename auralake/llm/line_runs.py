@@ -91,13 +91,13 @@ def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
         step = 1 << (len(tables) - 1)
         ahead = F.max("rank").over(W.partitionBy("k", "mark").orderBy("pos").rangeBetween(step, step))
         there = F.when(F.col("reach") > step, ahead).otherwise(-1)  # the end comes first
-        paired = materialise(tables[-1].select(*PLACE, F.col("rank").alias("here"), there.alias("there"), "reach", "r0", "r1"))
+        paired = materialise(tables[-1].select(*PLACE, F.col("rank").alias("here"), there.alias("there"), "reach", "r0", "r1"), total)
         ranks = _ranked(paired.groupBy("here", "there").agg(F.count("*").alias("n")), "here", "there")
         found = ranks.count()
         if found == classes and step > 1:
             break
         second = F.col("rank") if step == 1 else F.col("r1")
-        tables.append(materialise(join_unique(paired, ranks, ["here", "there"], "n", total).select(*PLACE, "rank", "reach", "r0", second.alias("r1"))))
+        tables.append(materialise(join_unique(paired, ranks, ["here", "there"], "n", total).select(*PLACE, "rank", "reach", "r0", second.alias("r1")), total))
         classes = found
     return tables
 

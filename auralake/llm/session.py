@@ -13,14 +13,17 @@ from pyspark.sql import types as T
 
 #: A key is hot if it has more than one in so many rows, so no table has more hot keys than this.
 HOT_KEYS = 4096
+#: Partitions of fewer rows aren't worth a file of their own, where the number of rows is known.
+FILE_ROWS = 8192
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it from there.
 
     The folder is the cluster's ``spark.checkpoint.dir``. Where neither that
     setting nor a checkpoint folder exists, a local session gets a temporary one;
-    on a cluster, whose nodes don't share one, this raises.
+    on a cluster, whose nodes don't share one, this raises. Of at most ``rows`` narrow
+    rows it writes no more files than they need; without that bound one a partition.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -29,7 +32,7 @@ def materialise(df: DataFrame) -> DataFrame:
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="auralake-"))
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).checkpoint(eager=True)
 
 
 def join_unique(many: DataFrame, one: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
