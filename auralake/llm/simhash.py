@@ -79,31 +79,36 @@ def simhash(text: str | None, width: int = 4, seed: int = SEED) -> int:
 class VantageTree:
     """A vantage-point tree over distinct 64-bit fingerprints under the Hamming distance.
 
-    ``points`` are in tree order: those of a leaf are neighbours. ``branches``
-    counts inner nodes, ``pruned`` the visits of points that bounds have saved.
+    ``points`` are in tree order, ``order`` has the places they came from: those
+    of a leaf are neighbours. ``branches`` counts inner nodes, ``pruned`` the
+    visits of points that bounds have saved.
     """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points, self.leaf = points.copy(), leaf
+        self.points, self.order, self.leaf = points.copy(), np.arange(len(points)), leaf
         self.nodes: list[tuple] = []
         self.leaves: list[tuple[int, int]] = []
         self.branches = self.pruned = 0
         if len(points):
             self._build(0, len(points))
 
+    @staticmethod
+    def far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a ^ b)
+
     def _build(self, lo: int, hi: int) -> int:
         me = len(self.nodes)
         self.nodes.append(())
         part = self.points[lo:hi]
         if hi - lo > self.leaf:
-            vantage = part[0]
-            far = np.bitwise_count(part ^ vantage)
+            vantage = part[0].copy()
+            far = self.far(part, vantage)
             order = np.argsort(far, kind="stable")
             far = far[order]
             # The cut nearest to the middle that keeps equal distances together.
             cuts = np.flatnonzero(far[1:] != far[:-1]) + 1
             cut = int(cuts[np.argmin(np.abs(cuts - (hi - lo) // 2))])  # the vantage point alone is at distance 0
-            self.points[lo:hi] = part[order]
+            self.points[lo:hi], self.order[lo:hi] = part[order], self.order[lo:hi][order]
             spans = [(int(far[0]), int(far[cut - 1])), (int(far[cut]), int(far[-1]))]
             self.branches += 1
             self.nodes[me] = (vantage, lo + cut, hi, [(*span, self._build(a, b)) for span, (a, b) in zip(spans, ((lo, lo + cut), (lo + cut, hi)), strict=True)])
@@ -124,7 +129,7 @@ class VantageTree:
                     if end > lo:  # each two leaves meet once
                         self._compare(label, who, cut, end, radius)
                     continue
-                far = np.bitwise_count(self.points[who] ^ vantage)
+                far = self.far(self.points[who], vantage)
                 for (least, most, child), stop in zip(children, (cut, end), strict=True):
                     if stop > lo:
                         near = (far + radius >= least) & (far <= most + radius)
@@ -137,7 +142,7 @@ class VantageTree:
         one = label[lo]
         if label[who[0]] == one and (label[who] == one).all() and (label[lo:hi] == one).all():
             return
-        hits = np.flatnonzero(np.bitwise_count(self.points[who][:, None] ^ self.points[None, lo:hi]) <= radius)
+        hits = np.flatnonzero(self.far(self.points[who][:, None], self.points[None, lo:hi]) <= radius)
         a, b = who[hits // (hi - lo)], hits % (hi - lo) + lo
         while True:
             ra, rb = label[a], label[b]

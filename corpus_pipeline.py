@@ -46,6 +46,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of texts alike in 0.8 of their five-word shingles.
 
+    Vantage-point trees of SimHash fingerprints find them, whole shingle sets decide.
     Null and blank texts are one group. Null keys come last; of rows of equal key
     the one with the least hash of its text stays, of equal rows one.
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 import random
 import zlib
 
@@ -67,6 +68,47 @@ def test_near_dedup_finds_all_pairs_of_jaccard_08(spark):
     assert corpus_pipeline.near_dedup(spark, documents(spark, rows).where("false"), "").count() == 0
 
 
+def test_fingerprints_of_alike_texts_lie_within_the_radius():
+    """The chance to lie beyond it, of bits that differ with 0.1875 at most, and pairs of all sizes at 0.8 or little more."""
+    bits, p = near_copies.FP_BITS, 0.1875
+    assert sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(near_copies.RADIUS + 1, bits + 1)) < 4e-9
+    rng = np.random.default_rng(1)
+    for shared, a, b in [(4, 0, 1), (8, 1, 1), (12, 1, 2), (16, 2, 2), (80, 10, 10), (400, 0, 100), (4000, 500, 500)]:
+        for _ in range(30):
+            found = rng.integers(0, 1 << 63, shared + a + b, dtype=np.uint64)
+            one, other = near_copies.fingerprint(found[: shared + a]), near_copies.fingerprint(np.delete(found, np.s_[shared : shared + a]))
+            assert np.bitwise_count(one ^ other).sum() <= near_copies.RADIUS
+    assert np.bitwise_count(near_copies.fingerprint(found[:300]) ^ near_copies.fingerprint(found[300:600])).sum() > near_copies.RADIUS
+
+
+def test_the_tree_finds_all_fingerprints_within_the_radius():
+    rng = np.random.default_rng(2)
+    chance = rng.integers(0, 1 << 63, (40, 1, 8), dtype=np.uint64)
+    flips = rng.random((40, 30, 512)) < rng.choice([0.02, 0.1, 0.2], (40, 1, 1))
+    points = (chance ^ np.packbits(flips, axis=2).view("<u8")).reshape(-1, 8)
+    points = points[rng.permutation(np.append(np.arange(1200), [0, 0, 7]))]
+    near = np.bitwise_count(points[:, None] ^ points[None]).sum(axis=2) <= near_copies.RADIUS
+    want = np.arange(len(points))
+    while (next_ := np.where(near, want[None], len(points)).min(axis=1)).tolist() != want.tolist():
+        want = next_
+    got = near_copies.similar(points, leaf=8)
+    assert got[got].tolist() == got.tolist()
+    assert len(set(zip(got.tolist(), want.tolist(), strict=True))) == len(set(got.tolist())) == len(set(want.tolist()))
+    tree = near_copies.WideTree(np.unique(points, axis=0), 8)
+    tree.groups(near_copies.RADIUS)
+    assert tree.branches > 0 and tree.pruned > 0
+
+
+def test_near_dedup_links_what_the_trees_of_fingerprints_found(spark):
+    """At a radius of 0 only texts of one fingerprint are linked, though they share bands and shingles."""
+    base = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "more"])), (3, " ".join(["less", *base])), (4, " ".join(base).upper()), (5, "another text of six words")]
+    kept = lambda **options: sorted(r["doc_id"] for r in near_copies.keep_first(documents(spark, rows), **options).collect())
+    assert kept() == sorted(alike_first(rows)) == [1, 5]
+    prints = {near_copies.fingerprint(near_copies.shingles(t)).tobytes() for _, t in rows}
+    assert len(prints) == 4 and kept(radius=0) == kept(radius=0, block=300) == [1, 2, 3, 5]
+
+
 @pytest.mark.parametrize("hot_keys", [1, 3])
 def test_near_dedup_of_sets_that_many_rows_share(spark, monkeypatch, hot_keys):
     """With 1 every set is shuffled, with 3 those of over a third of the rows are broadcast."""
