@@ -87,7 +87,7 @@ class SqliteReader(DataSourceReader):
                     low = after[0] if after else None
             except sqlite3.OperationalError:  # a table without rowids is read as one
                 return [Span(None, None)]
-        return [Span(a, b) for a, b in zip(cuts, [*cuts[1:], None], strict=True)] or [Span(0, 0)]
+        return [Span(a, b) for a, b in zip(cuts, [*cuts[1:], None], strict=False)] or [Span(0, 0)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         names = ", ".join(_name(f.name) for f in self.schema.fields)
