@@ -39,3 +39,9 @@ def test_mean_pool_keeps_the_sign_of_what_rounds_to_zero(spark, tmp_path):
     assert got == want
     signs = lambda rows: [[math.copysign(1, x) for x in u] for _, u in rows]
     assert signs(got) == signs(want) == [[1, -1], [1, 1]]
+
+
+@pytest.mark.parametrize("tracks", [{0: 5, 1: 5, 2: 4, 3: 1}, {0: 5, 1: 2, 2: 3, 4: 5, 9: 5}, {0: 5}])
+def test_self_consistency_of_short_tracks(spark, tmp_path, tracks):
+    got, want = against_sql(spark, tmp_path, "r7_self_consistency", embeddings=vectors_of(tracks))
+    assert len(got) == len(tracks) and repr(got) == repr(want)
