@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from auralake import plans
+from auralake.operators import radio
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -45,3 +46,13 @@ def test_mean_pool_keeps_the_sign_of_what_rounds_to_zero(spark, tmp_path):
 def test_self_consistency_of_short_tracks(spark, tmp_path, tracks):
     got, want = against_sql(spark, tmp_path, "r7_self_consistency", embeddings=vectors_of(tracks))
     assert len(got) == len(tracks) and repr(got) == repr(want)
+
+
+def parts_of(ids) -> dict:
+    ids = [int(i) for i in ids]
+    return {"p_partkey": pa.array(ids, pa.int64()), "p_name": [f"n {i % 7}" for i in ids], "p_brand": [f"Brand#{i % 3}" for i in ids]}
+
+
+def test_neighbours_at_equal_distances(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "o3_r10_neighbours", part=parts_of(range(12000)))
+    assert len(got) == 5 * 240 and got == want
