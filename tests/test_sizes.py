@@ -56,3 +56,10 @@ def parts_of(ids) -> dict:
 def test_neighbours_at_equal_distances(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "o3_r10_neighbours", part=parts_of(range(12000)))
     assert len(got) == 5 * 240 and got == want
+
+
+@pytest.mark.parametrize("ids", [range(4000), [0], [0, 50], [0, 50, 7, 7]])
+def test_distance_ranges_return_one_row_a_query_and_task(spark, tmp_path, ids, monkeypatch):
+    monkeypatch.setattr(radio, "BLOCK_QUERIES", 33)
+    got, want = against_sql(spark, tmp_path, "j12_pair_distances", part=parts_of(ids))
+    assert got == want
