@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from auralake import plans
-from auralake.operators import radio
+from auralake.operators import radio, vectors
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -63,3 +64,27 @@ def test_distance_ranges_return_one_row_a_query_and_task(spark, tmp_path, ids, m
     monkeypatch.setattr(radio, "BLOCK_QUERIES", 33)
     got, want = against_sql(spark, tmp_path, "j12_pair_distances", part=parts_of(ids))
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["m12_m13_maxsim_expression", "r3_w9_w10_decide", "r7_rank1_report", "r8_a11_x3_field_test"])
+def test_scores_of_equal_and_short_tracks(spark, tmp_path, name, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_TRACKS", 2)
+    table = vectors_of({t: 1 + t % 5 if t % 9 == 4 else 5 for t in range(160)})
+    v = table["embedding"].to_pylist()
+    table["embedding"] = pa.array([v[i % 150] for i in range(len(v))], pa.list_(pa.float32()))
+    got, want = against_sql(spark, tmp_path, name, embeddings=table)
+    assert got == want
+
+
+@pytest.mark.parametrize("same", [None, "id % 4", "CASE WHEN id % 3 > 0 THEN id % 5 END"])
+def test_leaders_decide_what_all_scores_do(spark, same, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE_TRACKS", 5)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-1, 2, size=(i % 3, 3)).astype(float).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, segments array<array<double>>").repartition(4)
+    asked = df.where("id % 7 = 0")
+    kept = vectors.leaders(asked, df, "id", None if same is None else F.expr(same))
+    assert kept.count() <= 2 * 13 * 4
+    known = None if same is None else df.selectExpr("id", f"{same} AS same")
+    want = vectors.decide(vectors.score_all(asked, df, "id"), "id", known)
+    assert sorted(vectors.decide(kept, "id").collect()) == sorted(want.collect())
