@@ -1,6 +1,7 @@
 """Odd inputs and larger tables: results against SQL, and what work and memory grow with."""
 
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from auralake import plans
-from auralake.operators import radio, vectors
+from auralake.functions import bits
+from auralake.operators import radio, recording, vectors
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -88,3 +90,52 @@ def test_leaders_decide_what_all_scores_do(spark, same, monkeypatch):
     known = None if same is None else df.selectExpr("id", f"{same} AS same")
     want = vectors.decide(vectors.score_all(asked, df, "id"), "id", known)
     assert sorted(vectors.decide(kept, "id").collect()) == sorted(want.collect())
+
+
+def documents_of(texts) -> dict:
+    """Documents of some texts, with odd ids among them."""
+    n = len(texts)
+    return {"doc_id": pa.array(range(n), pa.int64()), "text": pa.array(texts, pa.string()), "lang": ["en"] * n, "source": ["s"] * n, "n_chars": pa.array([len(t or "") for t in texts], pa.int64())}
+
+
+ODD = [None, "", " \t\n", "a b c d", "x " * 90, "x\fy\vz\r\n" * 40, "\U0001f3b5 é"]
+
+
+def prose(n: int) -> list:
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.3, rng.integers(1, 300)) % 500) for _ in range(n)]
+    texts[50], texts[51], texts[52] = " ".join(f"v{i}" for i in range(120)), " ".join(f"v{i}" for i in range(7, 127)), "pad pad " + texts[100]
+    return texts[: n - len(ODD)] + ODD
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize(
+    "name,absent",
+    [
+        ("j14_shared_halves", ["Exchange", "FileScan", "Join"]),
+        ("a4_r5_candidates", ["FileScan", "lambdafunction"]),
+        ("m10_m11_r6_alignment", ["posexplode", "lambdafunction"]),
+        ("m9_a14_d1_halves", ["lambdafunction"]),
+        ("s17_blob_codec", ["lambdafunction"]),
+    ],
+)
+def test_recordings_of_odd_texts(spark, tmp_path, monkeypatch, name, absent):
+    for limit, value in (("DENSE_SHARE", 2), ("DENSE_HALVES", 9), ("TILE_RECORDINGS", 7), ("TILE_HALVES", 300), ("CACHED_TOKENS", 5)):
+        monkeypatch.setattr(recording, limit, value, raising=False)
+    got, want = against_sql(spark, tmp_path, name, documents=documents_of(prose(260)))
+    assert got == want
+    plan = plan_of(plans.QUERIES[name](spark, str(tmp_path)))
+    assert [x for x in absent if x in plan] == []
+
+
+def test_blobs_of_many_words_take_time_in_proportion(spark):
+    words = np.random.default_rng(6).integers(0, 1 << 32, 16000).tolist()
+    df = spark.createDataFrame([(words,), ([],), (None,)], "w array<long>")
+    through = df.select(bits.unpack_words(bits.pack_words(F.col("w"))).alias("w"))
+    through.limit(1).collect()
+    began = time.time()
+    assert [list(r["w"]) for r in through.collect()] == [words, [], []]
+    assert time.time() - began < 20
