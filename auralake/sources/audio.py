@@ -7,11 +7,13 @@ import wave
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auralake.operators.lineage import array_pieces, list_array, list_rows
+
 RATE, SECONDS = 8000, 60
 DECODED = T.StructType([T.StructField("samples", T.ArrayType(T.FloatType())), T.StructField("reason", T.StringType())])
 
@@ -40,11 +42,12 @@ def samples_of(blob: bytes | None, rate: int = RATE, seconds: int = SECONDS) ->
     return x, "OK" if len(x) else "EMPTY"
 
 
-@F.pandas_udf(DECODED)
-def _decode(blobs: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.arrow_udf(DECODED)
+def _decode(blobs: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in blobs:
-        found = [samples_of(b) for b in batch]
-        yield pd.DataFrame({"samples": [x.tolist() for x, _ in found], "reason": [r for _, r in found]})
+        for (part,) in array_pieces((batch,)):
+            found = [samples_of(b) for b in part.to_pylist()]
+            yield pa.StructArray.from_arrays([list_array([x for x, _ in found], pa.float32()), pa.array([r for _, r in found], pa.string())], names=["samples", "reason"])
 
 
 def decode(blob: Column) -> Column:
@@ -52,9 +55,18 @@ def decode(blob: Column) -> Column:
     return _decode(blob)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _unsigned(blobs: pd.Series) -> pd.Series:
-    return blobs.map(lambda b: None if b is None else ((np.frombuffer(b, np.uint8).astype(np.float32) - 128) / 128).tolist())
+def signals_of(column: pa.Array) -> list[np.ndarray | None]:
+    """Rows of samples of a column that holds them, or headerless unsigned 8-bit audio."""
+    if pa.types.is_list(column.type):
+        return [None if x is None else np.asarray(x, np.float32) for x in list_rows(column)]
+    return [None if b is None else (np.frombuffer(b, np.uint8).astype(np.float32) - 128) / 128 for b in column.to_pylist()]
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def _unsigned(blobs: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in blobs:
+        for (part,) in array_pieces((batch,)):
+            yield list_array(signals_of(part), pa.float32())
 
 
 def unsigned_samples(blob: Column) -> Column:
