@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,7 +10,6 @@ from auralake.functions import bits, music
 from auralake.operators import ordered, radio, recording, signal
 from auralake.plans.registry import FEATURES, PEAKS, RECORDINGS, Tables, query, micros
 from auralake.plans.relations import HALVES, SHARED
-from auralake.sources import audio
 
 
 @query(f"""WITH {PEAKS}, w AS (SELECT *, max(mag + 0.08::DOUBLE * frame) OVER (PARTITION BY id, band ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM peaks)
@@ -184,28 +183,28 @@ def m20_brightness(t: Tables) -> DataFrame:
     return centroids.groupBy("id").agg(F.round(F.avg("c") / 5, 6).alias("brightness"))
 
 
-def _whole_signal(text: str):
-    """All bytes of a document as samples between -1 and 1."""
-    return audio.unsigned_samples(F.encode(text, "utf-8"))
+def _whole_signal(text: str) -> Column:
+    """All bytes of a document as unsigned 8-bit audio."""
+    return F.encode(text, "utf-8")
 
 
 @query("SELECT doc_id, CAST(greatest((strlen(text) - 1024) // 256 + 1 - 4, 0) AS INTEGER) AS n_words FROM documents WHERE strlen(text) >= 1024")
 def m1_m4_m8_recording_words(t: Tables) -> DataFrame:
     """The number of recording words of documents played as sound; their values are held against known digests in tests."""
-    some = t.texts.where("octet_length(text) >= 1024").select("doc_id", signal.analyse(_whole_signal("text")).alias("a"))
+    some = t.texts.where("octet_length(text) >= 1024").select("doc_id", signal.analyse(_whole_signal("text"), "words").alias("a"))
     return some.select("doc_id", F.size("a.words").alias("n_words"))
 
 
 @query()
 def r13_r14_signal_analysis(t: Tables) -> DataFrame:
     """Landmarks and features of documents played as sound."""
-    some = t.texts.where("octet_length(text) >= 1024").select("doc_id", signal.analyse(_whole_signal("text")).alias("a"))
+    some = t.texts.where("octet_length(text) >= 1024").select("doc_id", signal.analyse(_whole_signal("text"), "landmarks", "features").alias("a"))
     return some.select("doc_id", F.size("a.landmarks").alias("n_landmarks"), F.round("a.features.energy", 6).alias("energy"), F.round("a.features.brightness", 6).alias("brightness"))
 
 
 @query()
 def m24_m25_noisy_excerpts(t: Tables) -> DataFrame:
     """Excerpts mixed with seeded noise at 10 dB."""
-    clean = signal.excerpt(_whole_signal("text"), F.lit(0.0), F.lit(0.25))
+    clean = signal.excerpt_bytes(_whole_signal("text"), F.lit(0.0), F.lit(0.25))
     noisy = signal.with_noise(clean, signal.white_noise(F.lit(500), F.col("doc_id")), F.lit(10.0))
     return t.texts.where("octet_length(text) >= 2000").select("doc_id", noisy.alias("x")).select("doc_id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double")), 3).alias("total"))

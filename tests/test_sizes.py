@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from auralake import plans
 from auralake.functions import bits
 from auralake.operators import radio, recording, vectors
+from auralake.sources import audio
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -139,3 +140,25 @@ def test_blobs_of_many_words_take_time_in_proportion(spark):
     began = time.time()
     assert [list(r["w"]) for r in through.collect()] == [words, [], []]
     assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("name", ["m1_m4_m8_recording_words", "r13_r14_signal_analysis", "m24_m25_noisy_excerpts"])
+def test_audio_goes_to_kernels_as_bytes(spark, tmp_path, name):
+    """Samples of whole texts as arrays took over 1 GB of a worker."""
+    texts = [None, "", "é" * 600] + ["word %d " % i * 500 for i in range(5)]
+    if name in plans.ORACLE_SQL:
+        got, want = against_sql(spark, tmp_path, name, documents=documents_of(texts))
+        assert got == want
+    else:
+        pq.write_table(pa.table(documents_of(texts)), f"{tmp_path}/documents.parquet")
+    df = plans.QUERIES[name](spark, str(tmp_path))
+    assert len(df.collect()) == (5 if name.startswith("m24") else 6) and "_unsigned" not in plan_of(df)
+
+
+def test_decoding_returns_pieces():
+    batch = pa.array([b"abcd" * 1000, b"", None] * 4000)
+    parts = list(audio._decode.func(iter([batch])))
+    assert len(parts) > 3 and max(p.nbytes for p in parts) < 8 << 20
+    whole = pa.chunked_array(parts).combine_chunks()
+    assert whole.field("reason").to_pylist() == ["OK", "EMPTY", "MISSING"] * 4000
+    assert whole.field("samples").value_lengths().to_pylist() == [1000, 0, 0] * 4000
