@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -58,11 +59,16 @@ def flux(df: DataFrame, keys: list[str], frame: str, bin_: str, value: str) -> D
 
 
 def autocorrelation(df: DataFrame, keys: list[str], frame: str, value: str, first: int, last: int) -> DataFrame:
-    """(keys, lag, score): mean product of centred values ``lag`` frames apart."""
-    mean = F.avg(value).over(W.partitionBy(*keys))
-    wave = df.select(*keys, F.col(frame).alias("f"), (F.col(value) - mean).alias("x"))
-    shifted = wave.select(*keys, F.col("x").alias("y"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("lag"), "f").withColumn("f", F.col("f") + F.col("lag"))
-    return wave.join(shifted, [*keys, "f"]).groupBy(*keys, "lag").agg(F.avg(F.col("x") * F.col("y")).alias("score"))
+    """(keys, lag, score): mean product of centred values ``lag`` frames apart.
+
+    A row meets those that follow at its lags in one sorted pass over its key; no side is broadcast or copied by lag.
+    """
+    own = W.partitionBy(*keys)
+    known = df.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
+    wave = known.select(*keys, F.col(frame).cast("long").alias("f"), (F.col(value) - F.avg(value).over(own)).alias("x")).where("f is not null")
+    later = F.collect_list(F.struct("f", "x")).over(own.orderBy("f").rangeBetween(first, last))
+    met = wave.withColumn("_later", later).select(*keys, "f", "x", F.explode("_later").alias("_y"))
+    return met.groupBy(*keys, (F.col("_y.f") - F.col("f")).alias("lag")).agg(F.avg(F.col("x") * F.col("_y.x")).alias("score"))
 
 
 def frames(samples: Column, size: int, hop: int) -> Column:

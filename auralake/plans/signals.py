@@ -39,7 +39,7 @@ k AS (SELECT a.id, b.frame - a.frame AS lag, avg(a.x * b.x) AS score FROM c a JO
 SELECT id, CAST(lag AS INTEGER) AS lag, round(score, 2) AS score FROM k""")
 def w5_autocorrelation(t: Tables) -> DataFrame:
     summed = t.peaks.groupBy("id", "frame").agg(F.sum("mag").alias("x"))
-    return ordered.autocorrelation(summed, ["id"], "frame", "x", 10, 31).withColumn("score", F.round("score", 2))
+    return ordered.autocorrelation(summed, ["id"], "frame", "x", 10, 31).select("id", F.col("lag").cast("int").alias("lag"), (F.round(F.col("score") * 100) / 100).alias("score"))  # rounded as SQL does
 
 
 @query(f"""WITH {RECORDINGS} SELECT id, CAST(CASE WHEN len(words) >= 64 THEN (len(words) - 64) // 16 + 1 ELSE 0 END AS INTEGER) AS n_frames,

@@ -162,3 +162,20 @@ def test_decoding_returns_pieces():
     whole = pa.chunked_array(parts).combine_chunks()
     assert whole.field("reason").to_pylist() == ["OK", "EMPTY", "MISSING"] * 4000
     assert whole.field("samples").value_lengths().to_pylist() == [1000, 0, 0] * 4000
+
+
+def events_of(n: int, users: int) -> dict:
+    rng = np.random.default_rng(7)
+    start = np.datetime64("2024-01-01T00:00:00", "us")
+    times = start + rng.integers(0, 200 * 3600, n).astype("timedelta64[s]").astype("timedelta64[us]")
+    user = [None if u == users else int(u) for u in rng.integers(0, users + 1, n)]
+    kinds = np.array(["click", "error", "purchase", "signup", "view"])[rng.integers(0, 5, n)]
+    return {"event_id": pa.array(range(n), pa.int64()), "ts": pa.array(times), "user_id": pa.array(user, pa.int64()), "event_type": kinds.tolist(), "value": rng.integers(0, 1000, n) / 8, "props": ["{}"] * n}
+
+
+def test_autocorrelation_joins_and_broadcasts_nothing(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "w5_autocorrelation", events=events_of(3000, 6))
+    known = [r for r in want if r[0] is not None]
+    assert got == known and len(got) == 6 * 22
+    plan = plan_of(plans.QUERIES["w5_autocorrelation"](spark, str(tmp_path)))
+    assert "Join" not in plan and "Broadcast" not in plan
