@@ -26,7 +26,17 @@ def t1_j9_o7_search(t: Tables) -> DataFrame:
 
 @query(f"WITH {TOKENS} SELECT id, count(*) AS n, count(DISTINCT term) AS terms, min(term) AS first, max(term) AS last FROM tokens GROUP BY id")
 def t2_tokens(t: Tables) -> DataFrame:
-    return _postings(t).groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("terms"), F.min("term").alias("first"), F.max("term").alias("last"))
+    """Counts of each document's tokens, taken where its text lies; only ids of several rows have their terms shuffled."""
+    docs = t.texts.withColumnRenamed("doc_id", "id")
+    repeated = t.documents.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("_rows")).where((F.col("_rows") > 1) | F.col("id").isNull()).select("id")
+    counted = lambda posted: posted.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("terms"), F.min("term").alias("first"), F.max("term").alias("last"))
+    posted = lambda df: search.postings(df, "id", ["text"])
+    shared = not repeated.isEmpty()
+    alone = docs.join(repeated, "id", "left_anti").where("id IS NOT NULL") if shared else docs
+    found = alone.select("id", tx.tokens(F.col("text")).alias("x")).where("size(x) > 0").select("id", F.size("x").cast("long").alias("n"), F.size(F.array_distinct("x")).cast("long").alias("terms"), F.array_min("x").alias("first"), F.array_max("x").alias("last"))
+    if not shared:
+        return found
+    return found.unionByName(counted(posted(docs.join(repeated, docs["id"].eqNullSafe(repeated["id"]), "left_semi"))))
 
 
 @query(r"""SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda x: regexp_replace(x, '[^\p{L}\p{N}_]', '', 'g')), lambda x: x <> '') AS terms FROM documents""")

@@ -179,3 +179,14 @@ def test_autocorrelation_joins_and_broadcasts_nothing(spark, tmp_path):
     assert got == known and len(got) == 6 * 22
     plan = plan_of(plans.QUERIES["w5_autocorrelation"](spark, str(tmp_path)))
     assert "Join" not in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("ids", [None, [1, 1, 2, 2, 3, 4, 5, None, None]])
+def test_tokens_are_counted_where_texts_lie(spark, tmp_path, ids):
+    table = documents_of(["b a b", "C c", "x", None, "", "é e Z9", "..", "q", "q r"])
+    if ids:
+        table["doc_id"] = pa.array(ids, pa.int64())
+    got, want = against_sql(spark, tmp_path, "t2_tokens", documents=table)
+    assert got == want
+    plan = plan_of(plans.QUERIES["t2_tokens"](spark, str(tmp_path)))
+    assert ids or "hashpartitioning" not in plan
