@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auralake import plans
 from auralake.functions import bits
-from auralake.operators import radio, recording, vectors
+from auralake.operators import radio, recording, relational, vectors
 from auralake.sources import audio
 
 duckdb = pytest.importorskip("duckdb")
@@ -190,3 +190,14 @@ def test_tokens_are_counted_where_texts_lie(spark, tmp_path, ids):
     assert got == want
     plan = plan_of(plans.QUERIES["t2_tokens"](spark, str(tmp_path)))
     assert ids or "hashpartitioning" not in plan
+
+
+def test_pairs_of_a_large_group_are_made_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(relational, "PAIR_ROWS", 16, raising=False)
+    table = parts_of(range(400))
+    table["p_brand"] = [None if i % 40 == 7 else f"Brand#{i % 40 // 39}" for i in range(400)]
+    table["p_name"] = ["one name"] * 350 + [f"n {i // 2}" for i in range(50)]
+    got, want = against_sql(spark, tmp_path, "r10_x1_duplicate_titles", part=table)
+    assert len(got) > 50000 and got == want
+    plan = plan_of(plans.QUERIES["r10_x1_duplicate_titles"](spark, str(tmp_path)))
+    assert "REPARTITION_BY_NUM" in plan and "_part" in plan
