@@ -201,3 +201,14 @@ def test_pairs_of_a_large_group_are_made_in_parts(spark, tmp_path, monkeypatch):
     assert len(got) > 50000 and got == want
     plan = plan_of(plans.QUERIES["r10_x1_duplicate_titles"](spark, str(tmp_path)))
     assert "REPARTITION_BY_NUM" in plan and "_part" in plan
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_duplicates_meet_in_parts(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(vectors, "BLOCK_TRACKS", block)
+    monkeypatch.setattr(vectors, "TILE_TRACKS", 2)
+    table = vectors_of({t: 1 + t % 5 if t % 9 == 4 else 5 for t in range(150)}, d=16)
+    got, want = against_sql(spark, tmp_path, "r4_m14_embedding_duplicates", embeddings=table)
+    assert len(got) > 100 and got == want
+    plan = plan_of(plans.QUERIES["r4_m14_embedding_duplicates"](spark, str(tmp_path)))
+    assert "lambdafunction(aggregate" not in plan and "FlatMapGroupsInArrow" in plan
