@@ -212,3 +212,9 @@ def test_duplicates_meet_in_parts(spark, tmp_path, monkeypatch, block):
     assert len(got) > 100 and got == want
     plan = plan_of(plans.QUERIES["r4_m14_embedding_duplicates"](spark, str(tmp_path)))
     assert "lambdafunction(aggregate" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_maxsim_of_all_tracks_is_a_matrix_product(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "m12_m13_maxsim_expression", embeddings=vectors_of({t: 5 for t in range(60)}))
+    plan = plan_of(plans.QUERIES["m12_m13_maxsim_expression"](spark, str(tmp_path)))
+    assert got == want and "MapInArrow" in plan and "zip_with" not in plan
